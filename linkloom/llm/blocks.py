@@ -19,6 +19,9 @@ from linkloom.llm.common import NO_ID, Scratch, texts
 
 BLOCK_BYTES = 2 << 20
 
+#: A block's number is its task's, 24 bits up; with 16 bits more it names a document.
+BLOCK_DOCS = 60_000
+
 SCHEMA = "block long, n_docs int, n_bytes long, doc_ids binary, ends binary, body binary"
 
 
@@ -38,7 +41,7 @@ def _fold(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 24
         codec = pa.Codec("zstd", compression_level=1)
         ids: list[int] = []
         held: list[bytes] = []
@@ -57,7 +60,7 @@ def _fold(size: int):
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                if held and total + len(t) > size:
+                if held and (total + len(t) > size or len(held) == BLOCK_DOCS):
                     yield out()
                 ids.append(i)
                 held.append(t)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact_dedup, packing, quality, repeats, token_counts, token_files
+from linkloom.llm import exact_dedup, ngram_join, packing, quality, repeats, token_counts, token_files
 from linkloom.llm.common import read_documents
 
 
@@ -20,6 +20,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(read_documents(spark, sf_dir), size=100)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_documents(spark, sf_dir), size=3, num=9, den=10)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read_documents(spark, sf_dir), vocab="word_bpe_49k.json", end_id=1))
 
@@ -32,7 +36,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op6_repeats, op8_packing, op9_exact_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op6_repeats, op7_ngram_join, op8_packing, op9_exact_dedup, op10_token_files)}
 
 ORACLE = {
     "op9_exact_dedup": """
