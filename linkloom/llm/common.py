@@ -8,6 +8,7 @@ without rows.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -91,6 +92,16 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished jobs now.
+
+    It does so when the driver's garbage is collected, which a driver with much
+    memory may not do before executors' disks hold every round's files.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, all other characters as they are."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

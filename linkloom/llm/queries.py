@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact_dedup, ngram_join, packing, quality, repeats, token_counts, token_files
+from linkloom.llm import exact_dedup, ngram_join, packing, personal, quality, repeats, token_counts, token_files, toxicity
 from linkloom.llm.common import read_documents
 
 
@@ -16,6 +16,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_documents(spark, sf_dir), model="piece_bpe_32k.model").drop("row", "row_hash")
 
 
+def op3_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal(read_documents(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(read_documents(spark, sf_dir), size=100)
 
@@ -36,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op6_repeats, op7_ngram_join, op8_packing, op9_exact_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_personal, op4_toxicity, op6_repeats, op7_ngram_join, op8_packing, op9_exact_dedup, op10_token_files)}
 
 ORACLE = {
     "op9_exact_dedup": """

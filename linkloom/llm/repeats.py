@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import BLOCK_BYTES, Block, binary, gram_hashes, groups_of, mix, read_block, rows_of, sliding, write_blocks
-from linkloom.llm.common import NO_ID, Scratch, partitions, prepare
+from linkloom.llm.common import NO_ID, Scratch, partitions, prepare, release
 from linkloom.llm.suffix_tree import RepeatTree
 
 GRAM = 50
@@ -361,10 +361,15 @@ def drop_repeats(docs: DataFrame, size: int = 100, gram: int = GRAM, hot_blocks:
     flags = grams.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(hot_blocks), FLAGS)
     flags = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes", "hot")).alias("flags"))
     found = scratch.save(blocks.join(flags, "block").mapInArrow(_gather(size, gram, bits), FOUND), "found", codec="uncompressed")
+    del grams, flags
+    release(spark)
     own = found.where(f"kind = {REMOVED}").select("block", "body")
     spread = found.where(f"kind <> {REMOVED}").repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
     gone = spread.mapInArrow(_solve(size, gram), GONE).unionByName(own)
-    gone = gone.groupBy("block").agg(F.collect_list("body").alias("gone"))
+    gone = scratch.save(gone.groupBy("block").agg(F.collect_list("body").alias("gone")), "gone")
+    scratch.drop("found")
+    del found, own, spread
+    release(spark)
     schema = RESULT + (", kept binary" if keep_text else "")
     cut = blocks.join(gone, "block", "left").mapInArrow(_cut(keep_text), schema)
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
