@@ -505,8 +505,8 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    found = near_duplicates(docs, size, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
     own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     return own.join(found, "_id", "left_semi").select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact_dedup, ngram_join, packing, personal, quality, repeats, token_counts, token_files, toxicity
+from linkloom.llm import exact_dedup, mixing, ngram_join, packing, personal, quality, repeats, token_counts, token_files, toxicity
 from linkloom.llm.common import read_documents
 
 
@@ -24,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read_documents(spark, sf_dir), powers=(0.5, 0.7, 0.8), keep=0.5)
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(read_documents(spark, sf_dir), size=100)
 
@@ -44,7 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_personal, op4_toxicity, op6_repeats, op7_ngram_join, op8_packing, op9_exact_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_personal, op4_toxicity, op5_mixing, op6_repeats, op7_ngram_join, op8_packing, op9_exact_dedup, op10_token_files)}
 
 ORACLE = {
     "op9_exact_dedup": """
