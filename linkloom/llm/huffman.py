@@ -86,43 +86,42 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, segment:
         raise ValueError("an id has no code")
     ends = np.cumsum(bits_of, dtype=np.uint64)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.uint64)[::segment] if len(ids) else np.empty(0, np.uint64)
-    left = (codes << (LIMIT - lengths.astype(np.uint32))).astype(">u2")
-    lane = np.arange(LIMIT, dtype=np.uint8)
-    bits = []
+    words = np.zeros((int(ends[-1]) >> 5) + 2 if len(ids) else 0, np.uint32)
     for i in range(0, len(ids), 1 << 19):
-        part = ids[i : i + (1 << 19)]
-        grid = np.unpackbits(left[part].view(np.uint8).reshape(-1, 2), axis=1)
-        bits.append(grid[lane < lengths[part][:, None]])
-        if len(bits) > 1:  # whole bytes are packed as they come
-            bits = _pack_whole(bits)
-    return b"".join([x if isinstance(x, bytes) else np.packbits(x).tobytes() for x in bits]), begins
-
-
-def _pack_whole(bits: list) -> list:
-    done, tail = (bits[0], bits[1:]) if isinstance(bits[0], bytes) else (b"", bits)
-    flat = np.concatenate(tail)
-    whole = len(flat) // 8 * 8
-    return [done + np.packbits(flat[:whole]).tobytes(), flat[whole:]]
+        p = slice(i, i + (1 << 19))
+        n = bits_of[p].astype(np.uint64)
+        at = ends[p] - n
+        # each code lies within the 64 bits from the word in which it begins
+        value = codes[ids[p]].astype(np.uint64) << (np.uint64(64) - (at & np.uint64(31)) - n)
+        word = (at >> np.uint64(5)).astype(np.int64)
+        first = np.concatenate([[0], np.nonzero(word[1:] != word[:-1])[0] + 1])
+        both = np.bitwise_or.reduceat(value, first)
+        words[word[first]] |= (both >> np.uint64(32)).astype(np.uint32)
+        words[word[first] + 1] |= both.astype(np.uint32)
+    size = -(-int(ends[-1]) // 8) if len(ids) else 0
+    return words.astype(">u4").tobytes()[:size], begins
 
 
 def decode_ids(payload: np.ndarray, begins: np.ndarray, n: int, segment: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """All segments step by step, side by side."""
-    ids, bits = table
-    out = np.zeros(len(begins) * segment, np.uint32)
-    grid = out.reshape(len(begins), segment) if len(begins) else out.reshape(0, segment)
-    at = begins.astype(np.int64)
-    rest = n - (len(begins) - 1) * segment if len(begins) else 0
+    if not n:
+        return np.empty(0, np.uint32)
+    entry = (table[0].astype(np.uint32) << np.uint32(8)) | table[1]
+    words = np.zeros(-(-len(payload) // 4) * 4 + 8, np.uint8)
+    words[: len(payload)] = payload
+    words = words.view(">u4").astype(np.uint64)
+    seen = (words[:-1] << np.uint64(32)) | words[1:]  # 64 bits from each word on
+    grid = np.zeros((segment, len(begins)), np.uint32)
+    at = begins.astype(np.uint64)
+    rest = n - (len(begins) - 1) * segment
     for k in range(min(segment, n)):
-        if k == rest and len(at) > 1:
+        if k == rest:
             at = at[:-1]
-        elif k >= rest and len(begins) == 1:
-            break
-        b = at >> 3
-        seen = (payload[b].astype(np.uint32) << 16) | (payload[b + 1].astype(np.uint32) << 8) | payload[b + 2]
-        seen = (seen >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
-        grid[: len(at), k] = ids[seen]
-        at = at + bits[seen]
-    return out[:n]
+        code = (seen[at >> np.uint64(5)] >> (np.uint64(64 - LIMIT) - (at & np.uint64(31)))) & np.uint64((1 << LIMIT) - 1)
+        got = entry[code]
+        grid[k, : len(at)] = got >> np.uint32(8)
+        at = at + (got & np.uint32(255))
+    return grid.T.reshape(-1)[:n]
 
 
 def write_file(doc_ids: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, segment: int = 256) -> bytes:

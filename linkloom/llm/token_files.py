@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import huffman
 from linkloom.llm.common import NO_ID, Scratch, prepare, texts
-from linkloom.llm.vocab import WordIds, load
+from linkloom.llm.vocab import load, word_ids
 
 
 def _filesystem(uri: str):
@@ -22,31 +22,31 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def _tokenise(vocab: str, end_id: int):
+def _tokenise(vocab: str, end_id: int, size: int):
+    """Rows of documents, and at a task's end one with the counts of all its ids (n is -1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocab)
+        words = word_ids(vocab)
         end = np.array([end_id], words.dtype).tobytes()
+        total = np.zeros(size, np.int64)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
                 ids = [x + end for x in words.encode(part.column(1).to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(ids), words.dtype), minlength=size)
                 n = [len(x) // len(end) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["doc_id", "n", "ids"])
 
     return run
 
 
-def _histogram(size: int, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                ids = np.frombuffer(b"".join(b.column(0).slice(lo, 2000).to_pylist()), kind)
-                total += np.bincount(ids, minlength=size)
-        seen = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    return run
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            counts = np.frombuffer(raw, "<i8")
+            seen = np.nonzero(counts)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
 
 def _write(folder: str, lengths: np.ndarray, kind: str):
@@ -105,13 +105,13 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str = "word_bpe_49k.j
     size = load(vocab).get_vocab_size()
     kind = "<u2" if size <= 65536 else "<u4"
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    ids = scratch.save(rows.mapInArrow(_tokenise(vocab, end_id), "doc_id long, n long, ids binary"), "ids")
+    ids = scratch.save(rows.mapInArrow(_tokenise(vocab, end_id, size), "doc_id long, n long, ids binary"), "ids")
     counts = np.zeros(size, np.int64)
-    counted = ids.select("ids").mapInArrow(_histogram(size, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = ids.where("n < 0").select("ids").mapInArrow(_spell, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
     lengths = huffman.code_lengths(counts)
     parts = max(1, math.ceil(int(counts.sum()) / per_file))
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = ids.where("n >= 0").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     files = scratch.save(ordered.mapInArrow(_write(folder, lengths, kind), "part long, n long, n_bytes long"), "files")
     scratch.drop("ids")
     return files

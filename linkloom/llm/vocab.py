@@ -19,6 +19,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: libraries (tests compare each of them); "<|" may begin a special token.
 ODD = re.compile("[^\\t\\n\\r -~\\u00a1-\\u012f\\u0131-\\u024f\\u2010-\\u2027]|<\\|")
 
+
+
+def plain(text: str) -> bool:
+    if text.isascii() and "<|" not in text and text.replace("\n", "").isprintable():
+        return True
+    return not ODD.search(text)
+
+
 #: How the two vocabularies split a text before their merges.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -52,66 +60,99 @@ class TwoGenerations(dict):
             self.clear()
 
 
+#: Ends of chunks that are a word and punctuation, which need no pattern to part.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+
+
 class WordIds:
-    """Whole texts to ids by a vocabulary that lower-cases and drops white space."""
+    """Whole texts to ids by a vocabulary that lower-cases and drops white space.
+
+    New words go to the library many at a time: each word's last id, and no
+    other, ends a word in this kind of vocabulary, which parts them again.
+    """
+
+    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 400_000) -> None:
+        import json
 
-    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 150_000) -> None:
         import regex
 
-        self.tok, self.limit = load(name), limit
+        self.tok = load(name)
         self.find = regex.compile(WORD_PATTERN).findall
-        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
-        self.words, self.chunks = TwoGenerations(limit), TwoGenerations(limit)
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        words, known = self.words, {}
-        split = {c: self.find(c) for c in chunks}
-        new = []
-        for w in {w for ws in split.values() for w in ws}:
-            if (b := words.get(w)) is None and (b := words.old.get(w)) is None:
+        size = self.tok.get_vocab_size()
+        self.dtype = np.uint16 if size <= 65536 else np.uint32
+        suffix = json.loads(self.tok.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith(suffix)
+        self.cache = TwoGenerations(limit)
+
+    def _library(self, words: list[str]) -> dict[str, bytes]:
+        e = self.tok.encode_batch_fast([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)], add_special_tokens=False)
+        ids = np.array([i for x in e for i in x.ids], self.dtype)
+        width = ids.itemsize
+        ends = ((np.nonzero(self.ends[ids])[0] + 1) * width).tolist()
+        if len(ends) != len(words):
+            return {w: np.array(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w in words}
+        raw, begin, out = ids.tobytes(), 0, {}
+        for w, end in zip(words, ends):
+            out[w] = raw[begin:end]
+            begin = end
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts chunks into the cache: words as the library has them, others made of their parts."""
+        cache, old = self.cache, self.cache.old
+        new = [c for c in chunks if c.isalpha()]
+        parted: list[tuple[str, list[str]]] = []
+        parts = set()
+        for c in chunks:
+            if not c.isalpha():
+                core = c.rstrip(MARKS)
+                ws = [core, c[len(core) :]] if core.isalpha() else self.find(c)
+                parted.append((c, ws))
+                parts.update(ws)
+        for w in parts.difference(cache, new):
+            if (b := old.get(w)) is None:
                 new.append(w)
             else:
-                known[w] = b
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        words.update((w, b) for w, b in known.items() if len(w) <= 48)
-        words.age()
-        return {c: b"".join([known[w] for w in ws]) for c, ws in split.items()}
+                cache[w] = b
+        for i in range(0, len(new), 8192):
+            cache.update(self._library(new[i : i + 8192]))
+        for c, ws in parted:
+            cache[c] = b"".join([cache[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``dtype``."""
         out: list = [None] * len(texts)
         lists: dict[int, list[str]] = {}
         for i, t in enumerate(texts):
-            if ODD.search(t):
-                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
-            else:
+            if plain(t):
                 lists[i] = t.lower().split()
-        cache = self.chunks
-        need = set().union(*lists.values()) - cache.keys() if lists else set()
-        here = {}
-        for c in list(need):
-            if (b := cache.old.get(c)) is not None:
-                here[c] = b
-                need.discard(c)
-        if need:
-            here.update(self._learn(list(need)))
-        cache.update((c, b) for c, b in here.items() if len(c) <= 48)
-        for c, b in here.items():
-            if len(c) > 48:
-                cache[c] = b
+            else:
+                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
+        cache, old = self.cache, self.cache.old
+        missing = set().union(*lists.values()).difference(cache) if lists else set()
+        known = missing.intersection(old) if old else ()
+        for c in known:
+            cache[c] = old[c]
+        missing.difference_update(known)
+        if missing:
+            self._learn(list(missing))
         get = cache.__getitem__
-        for i, ws in lists.items():
-            out[i] = b"".join(map(get, ws))
-        for c in here:
-            if len(c) > 48:
-                del cache[c]
+        for i, chunks in lists.items():
+            out[i] = b"".join(map(get, chunks))
+        for c in [c for c in missing if len(c) > 48]:
+            cache.pop(c, None)
         cache.age()
         return out
 
 
+@lru_cache(maxsize=2)
+def word_ids(name: str) -> WordIds:
+    """One for each worker process: what it has learnt serves its next tasks too."""
+    return WordIds(name)
+
+
 class Pieces:
     """Pre-tokens of a byte-level vocabulary and how many pieces each one makes."""
 
@@ -128,7 +169,7 @@ class Pieces:
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and its special tokens (one piece each)."""
-        if not ODD.search(text):
+        if plain(text):
             return self.find(text), 0
         parts = self.special.split(text) if self.special else [text]
         out = []
