@@ -1,0 +1 @@
+"""Registered queries: the operators over records made of the sample tables."""
