@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import BLOCK_BYTES, BYTE_VALUES, Block, binary, groups_of, mix, read_block, rows_of, write_blocks
-from linkloom.llm.common import NO_ID, Scratch, partitions, prepare
+from linkloom.llm.common import NO_ID, Scratch, partitions, prepare, release
 from linkloom.llm.components import Forest, components
 
 #: Cells of the token histogram by which two sets' overlap is bounded from above.
@@ -134,29 +134,98 @@ def block_sets(block: Block, size: int) -> Sets:
     return Sets(tokens, ends, same)
 
 
-PROFILE = "block long, doc_ids binary, sizes binary, same binary, tokens binary, counts binary"
+PROFILE = "block long, doc_ids binary, sizes binary, same binary"
 
 
-def _profile(size: int, local: int):
-    """Each block's set sizes and equal sets, and the tokens that at least ``local`` of its different sets hold."""
+def _profile(size: int):
+    """Each block's set sizes and equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = read_block(row)
             s = block_sets(block, size)
-            own = np.repeat(s.same == np.arange(len(s.same)), s.sizes)
-            token, n = np.unique(s.tokens[own], return_counts=True)
-            common = n >= local
-            values = [block.number, row["doc_ids"], binary(s.sizes, "<u4"), binary(s.same, "<u2"), binary(token[common].view(np.int64), "<i8"), binary(n[common], "<i8")]
-            kinds = [pa.int64()] + [pa.binary()] * 5
+            values = [block.number, row["doc_ids"], binary(s.sizes, "<u4"), binary(s.same, "<u2")]
+            kinds = [pa.int64()] + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in PROFILE.split(", ")])
 
     return run
 
 
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in rows_of(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["tokens"], "<i8")), pa.array(np.frombuffer(row["counts"], "<i8"))], names=["token", "n"])
+COUNTS = "bucket int, block long, codes binary, counts binary"
+
+#: Bits of a token's code beside its bucket's. Two tokens of one code share a
+#: class, which costs time where it happens and changes no result.
+CODE_BITS = 24
+
+
+def token_codes(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return mix(tokens * C1 + C2) >> np.uint64(64 - bits - CODE_BITS)
+
+
+def three_bytes(code: np.ndarray) -> bytes:
+    return np.ascontiguousarray(code.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def from_three(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _token_counts(size: int, bits: int):
+    """By bucket, the codes of a block's tokens and how many of its different sets have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            block = read_block(row)
+            s = block_sets(block, size)
+            own = np.repeat(s.same == np.arange(len(s.same)), s.sizes)
+            code = np.sort(token_codes(s.tokens[own], bits))
+            begins = groups_of(code)
+            n = np.minimum(np.diff(begins, append=len(code)), 255).astype(np.uint8)
+            code = code[begins]
+            bucket = (code >> np.uint64(CODE_BITS)).astype(np.int64)
+            at = groups_of(bucket)
+            low = code & np.uint64((1 << CODE_BITS) - 1)
+            out = [(int(bucket[x]), block.number, three_bytes(low[x:y]), n[x:y].tobytes()) for x, y in zip(at, np.append(at[1:], len(code)))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=[x.split()[0] for x in COUNTS.split(", ")])
+
+    return run
+
+
+FLAGS = "block long, bucket int, codes binary"
+
+
+def _frequent(least: int):
+    """For each block, those of its codes that at least ``least`` sets of all blocks have."""
+
+    def solve(held: list[dict]) -> pa.RecordBatch:
+        codes = [from_three(r["codes"]) for r in held]
+        code, where = np.unique(np.concatenate(codes), return_inverse=True)
+        total = np.bincount(where, np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in held]))
+        often = (total >= least)[where]
+        out, at = [], 0
+        for r, c in zip(held, codes):
+            mine = often[at : at + len(c)]
+            at += len(c)
+            if mine.any():
+                out.append((r["block"], r["bucket"], three_bytes(c[mine])))
+        cols = list(zip(*out)) if out else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["block", "bucket", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for row in rows_of(batches):
+            if row["bucket"] != now:
+                if held:
+                    yield solve(held)
+                now, held = row["bucket"], []
+            held.append(row)
+        if held:
+            yield solve(held)
+
+    return run
 
 
 KEYS = "bucket int, block long, n int, body binary"
@@ -186,16 +255,14 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, need: int, pairs_upto:
     return one, two
 
 
-def _keys(size: int, num: int, den: int, pairs_upto: int, bits: int, frequent: np.ndarray):
+def _keys(size: int, num: int, den: int, pairs_upto: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = read_block(row)
             s = block_sets(block, size)
             n = s.sizes
-            often = np.zeros(len(s.tokens), bool)
-            if len(frequent) and len(s.tokens):
-                k = np.minimum(np.searchsorted(frequent, s.tokens), len(frequent) - 1)
-                often = frequent[k] == s.tokens
+            flagged = [(f["bucket"] << CODE_BITS) | from_three(f["codes"]).astype(np.int64) for f in row["flags"] or ()]
+            often = np.isin(token_codes(s.tokens, bits).astype(np.int64), np.concatenate(flagged)) if flagged else np.zeros(len(s.tokens), bool)
             owner = np.repeat(np.arange(len(n)), n)
             cells = np.bincount(owner * CELLS + (s.tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(n) * CELLS)
             cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
@@ -306,6 +373,77 @@ def _candidates(num: int, den: int):
     return run
 
 
+HISTOGRAMS = "grp long, place long, n int, cells binary"
+
+#: Cells of the finer histogram that parts long documents, too.
+FINE = 512
+
+
+def _histograms(size: int):
+    """The finer histograms of a block's candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            block = read_block(row)
+            s = block_sets(block, size)
+            out = []
+            for w in row["wanted"]:
+                tokens = s.of(w["place"] & 0xFFFF)
+                cells = np.bincount((tokens & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+                out.append((w["grp"], w["place"], len(tokens), np.minimum(cells, 255).astype(np.uint8).tobytes()))
+            for i in range(0, len(out), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out[i : i + 5000]), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["grp", "place", "n", "cells"])
+
+    return run
+
+
+def _refine(num: int, den: int):
+    """Groups of candidates apart, as far as the finer bounds part them; what stands alone goes."""
+
+    def solve(places: list[int], sizes: list[int], cells: list[bytes]) -> pa.RecordBatch:
+        order = np.argsort(np.array(sizes), kind="stable")
+        place, n = np.array(places, np.int64)[order], np.array(sizes, np.int64)[order]
+        grid = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, FINE)[order]
+        low = np.searchsorted(n, -(-n * num // den))
+        high = np.searchsorted(n, n * den // num, "right")
+        left = np.ones(len(n), bool)
+        out_n, out_c = [], []
+        for root in range(len(n)):
+            if not left[root]:
+                continue
+            left[root] = False
+            group, queue = [root], [root]
+            while queue:
+                x = queue.pop()
+                near = np.arange(low[x], high[x])[left[low[x] : high[x]]]
+                for i in range(0, len(near), 4096):
+                    part = near[i : i + 4096]
+                    hit = part[may_link(n[x], grid[x], n[part], grid[part], num, den)]
+                    left[hit] = False
+                    group.extend(hit.tolist())
+                    queue.extend(hit.tolist())
+            if len(group) > 1:
+                members = place[group]
+                out_n.extend(members.tolist())
+                out_c.extend([int(members.min())] * len(group))
+        return pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_c, pa.int64())], names=["node", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for b in batches:
+            for grp, *rest in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if grp != now:
+                    if held[0]:
+                        yield solve(*held)
+                    now, held = grp, ([], [], [])
+                for h, x in zip(held, rest):
+                    h.append(x)
+        if held[0]:
+            yield solve(*held)
+
+    return run
+
+
 MEMBERS = "grp long, part int, place long, doc_id long, weight long, tokens binary"
 
 
@@ -329,28 +467,47 @@ LINKS = "kind int, a long, b long"
 EDGE, DEGREE = 0, 1
 
 
-def linked(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which sets of ``a`` (rows) and ``b`` (columns) are similar enough; exact, by counting shared tokens."""
-    na, nb = (np.array([len(x) for x in s], np.int64) for s in (a, b))
-    token = np.concatenate([*a, *b])
-    _, code, n = np.unique(token, return_inverse=True, return_counts=True)
-    useful = n > 1
-    column = np.cumsum(useful) - 1
-    keep = useful[code]
-    owner = np.repeat(np.arange(len(na) + len(nb)), np.concatenate([na, nb]))[keep]
-    column = column[code[keep]]
-    width = int(useful.sum())
-    shared = np.zeros((len(na), len(nb)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    step = 4096
+def linked(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
+    """Which sets of ``a`` (rows) and ``b`` (columns; None: a itself) are similar enough; exact, by counting shared tokens.
+
+    Tokens of few sets count pair by pair, those of many through a matrix.
+    """
+    every = a if b is None else [*a, *b]
+    size, cut = len(every), len(a)
+    n = np.array([len(x) for x in every], np.int64)
+    token = np.concatenate(every)
+    owner = np.repeat(np.arange(size), n)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    begins = groups_of(token)
+    times = np.diff(begins, append=len(token))
+    column = np.repeat(np.arange(len(begins)), times)
+    few = np.repeat((times > 1) & (times <= 24), times)
+    shared = np.zeros(size * size, np.int64)
+    o, c = owner[few], column[few]
+    for d in range(1, 24):
+        i = np.nonzero(c[d:] == c[:-d])[0]
+        if not len(i):
+            break
+        shared += np.bincount(o[i] * size + o[i + d], minlength=size * size)
+    shared = shared.reshape(size, size)
+    many = times > 24
+    place = np.cumsum(many) - 1
+    wide = np.repeat(many, times)
+    o, c = owner[wide], place[column[wide]]
+    width, step = int(many.sum()), 2048
     for lo in range(0, width, step):
-        i = slice(*np.searchsorted(column, [lo, lo + step]))
-        grid = np.zeros((len(na) + len(nb), min(step, width - lo)), np.float32)
-        grid[owner[i], column[i] - lo] = 1
-        shared += grid[: len(na)] @ grid[len(na) :].T
-    shared = shared.astype(np.int64)
-    return den * shared >= num * (na[:, None] + nb[None, :] - shared)
+        i = slice(*np.searchsorted(c, [lo, lo + step]))
+        grid = np.zeros((size, min(step, width - lo)), np.float32)
+        grid[o[i], c[i] - lo] = 1
+        shared += np.triu(grid @ grid.T, 1).astype(np.int64)
+    shared += shared.T
+    if b is None:
+        np.fill_diagonal(shared, n)
+        rows, cols = n, n
+    else:
+        shared, rows, cols = shared[:cut, cut:], n[:cut], n[cut:]
+    return den * shared >= num * (rows[:, None] + cols[None, :] - shared)
 
 
 def _verify(num: int, den: int):
@@ -366,7 +523,7 @@ def _verify(num: int, den: int):
         if len(kinds) == 1 and kinds[0]:  # the other part is empty
             return _no_links()
         if len(kinds) == 1:
-            link = linked(sets, sets, num, den)
+            link = linked(sets, None, num, den)
             degree = link @ weight - 1
             i, j = np.nonzero(np.triu(link, 1))
         else:
@@ -444,9 +601,9 @@ def near_duplicates(
     num: int = 9,
     den: int = 10,
     pairs_upto: int = 220,
-    frequent_share: float = 0.001,
-    local: int = 3,
-    group: int = 2000,
+    frequent: int = 16,
+    group: int = 1000,
+    refine_upto: int = 100_000,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for each row of ``docs``.
@@ -456,11 +613,12 @@ def near_duplicates(
     links reach. n_links counts the rows a row links with. A document without
     words links with nothing. Rows that share a doc_id share its component.
 
-    A token is frequent when blocks in which ``local`` or more different sets
-    hold it count at least ``frequent_share`` of all documents: at most
-    mean set size / frequent_share tokens, which travel with the tasks. That
+    A token is frequent when ``frequent`` or more different sets hold it (at
+    most 255 of a block count). Blocks learn which of their own tokens are,
+    through the same buckets as anything else; nothing is broadcast. That
     choice moves work, never results. Candidates that pass size and histogram
-    bounds form groups; a group larger than ``group`` is verified part against
+    bounds form groups, which finer histograms take apart (groups of up to
+    ``refine_upto``; larger ones go on as they are). A group larger than ``group`` is verified part against
     part, each pair of parts in a task of its own, so no link is lost.
     """
     spark = docs.sparkSession
@@ -468,16 +626,24 @@ def near_duplicates(
     scratch = Scratch(spark, "ngrams")
     n_parts = partitions(spark)
     blocks = write_blocks(docs, scratch, block_bytes)
-    total, n_docs = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).head()
-    bits = max(0, min(30, (int(total) // (12 << 20)).bit_length()))
-    profile = scratch.save(blocks.mapInArrow(_profile(size, local), PROFILE), "profile")
-    common = profile.select("tokens", "counts").mapInArrow(_spell, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    common = common.where(F.col("n") >= max(local, frequent_share * int(n_docs))).select("token").toArrow()["token"].to_numpy()
-    frequent = np.sort(common.view(np.uint64))
-
-    keys = blocks.mapInArrow(_keys(size, num, den, pairs_upto, bits, frequent), KEYS)
+    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
+    bits = max(0, min(30, (int(total) // (4 << 20)).bit_length()))
+    profile = scratch.save(blocks.mapInArrow(_profile(size), PROFILE), "profile")
+    counts = blocks.mapInArrow(_token_counts(size, bits), COUNTS).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
+    flags = counts.mapInArrow(_frequent(frequent), FLAGS).groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("flags"))
+    keys = blocks.join(flags, "block", "left").mapInArrow(_keys(size, num, den, pairs_upto, bits), KEYS)
     stars = keys.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(num, den), "a long, b long")
-    candidates = scratch.save(components(stars, scratch, "candidates"), "groups")
+    candidates = components(stars, scratch, "candidates")
+    del counts, flags, keys, stars
+    release(spark)
+    sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("size")), "component")
+    asked = sized.where(F.col("size") <= refine_upto).select(F.shiftright("node", 16).alias("block"), F.struct(F.col("component").alias("grp"), F.col("node").alias("place")).alias("w"))
+    asked = asked.groupBy("block").agg(F.collect_list("w").alias("wanted"))
+    fine = blocks.join(asked, "block").mapInArrow(_histograms(size), HISTOGRAMS).repartition(n_parts, "grp").sortWithinPartitions("grp")
+    fine = fine.mapInArrow(_refine(num, den), "node long, component long")
+    candidates = scratch.save(fine.unionByName(sized.where(F.col("size") > refine_upto).select("node", "component")), "groups")
+    del sized, asked, fine
+    release(spark)
 
     parts = candidates.groupBy("component").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("parts"))
     member = candidates.join(parts, "component").select("component", F.col("node").alias("place"), "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("own"))
