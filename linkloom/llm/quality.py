@@ -171,7 +171,8 @@ def quality(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     kept = ~F.col("base_failed")
     for m in FENCES:
         kept = kept & within(m)
-    return saved.join(bands(saved), "band", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "chars_per_token", "byte_share", "token_entropy", "band", "row", "row_hash")
+    limits = scratch.save(bands(saved), "bands")  # a table of its own: a join to an aggregate could not split a large language
+    return saved.join(limits, "band", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "chars_per_token", "byte_share", "token_entropy", "band", "row", "row_hash")
 
 
 def keep_good(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
