@@ -77,12 +77,12 @@ def valid(kind: str) -> Column:
 
 
 def base_spans(rows: DataFrame, key: str) -> DataFrame:
-    """(key, kind, start, end) of all valid matches of the fixed patterns."""
+    """(key, kind, start, end) of all valid matches of the fixed patterns; ``same`` is a hash of the text."""
     may = {"email": F.contains("text", F.lit("@")), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike("[0-9][ -]?[0-9]"), "phone": F.contains("text", F.lit("+"))}
     each = []
     for kind in KINDS:
         found = places(rows.where(may[kind]), PATTERNS[kind], key).where(valid(kind))
-        each.append(found.select(key, F.lit(kind).alias("kind"), "start", (F.col("start") + F.length("found")).alias("end")))
+        each.append(found.select(key, F.lit(kind).alias("kind"), "start", (F.col("start") + F.length("found")).alias("end"), F.xxhash64("found").alias("same")))
     return reduce(DataFrame.unionByName, each)
 
 
@@ -104,16 +104,17 @@ def context_tokens(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     t = t.select(key, "start", (F.col("start") + F.length("token")).alias("end"), "token", patterns.alias("patterns"))
-    both = t.withColumn("kind", F.lit(None).cast("string")).unionByName(spans.select(key, "start", "end", "kind", F.lit(None).cast("string").alias("token"), F.lit(None).cast("array<string>").alias("patterns")))
+    both = t.withColumns({"kind": F.lit(None).cast("string"), "same": F.lit(None).cast("long")}).unionByName(spans.select(key, "start", "end", "kind", "same", F.lit(None).cast("string").alias("token"), F.lit(None).cast("array<string>").alias("patterns")))
     order = Window.partitionBy(key).orderBy("start", F.col("token").isNotNull())
     is_span = F.col("token").isNull()
     reached = F.max(F.when(is_span, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    nearest = F.max(F.when(is_span, F.struct("start", "kind"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first(F.when(is_span, F.struct("start", "kind")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    nearest = F.max(F.when(is_span, F.struct("start", "kind", "same"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.first(F.when(is_span, F.struct("start", "kind", "same")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     out = both.select(key, "start", "end", "token", "patterns", reached.alias("reached"), nearest.alias("nearest"), following.alias("following")).where("token is not null")
     inside = F.coalesce(F.col("reached") > F.col("start"), F.lit(False)) | F.coalesce(F.col("following.start") < F.col("end"), F.lit(False))
-    begins = F.when(F.col("following.start").between(F.col("start"), F.col("end") - 1), F.col("following.kind")).when((F.col("nearest.start") == F.col("start")) & (F.col("reached") > F.col("start")), F.col("nearest.kind"))
-    return out.select(key, "start", "end", "token", "patterns", inside.alias("inside"), begins.alias("kind"))
+    begins = F.when(F.col("following.start").between(F.col("start"), F.col("end") - 1), F.col("following")).when((F.col("nearest.start") == F.col("start")) & (F.col("reached") > F.col("start")), F.col("nearest"))
+    out = out.select(key, "start", "end", "token", "patterns", inside.alias("inside"), begins.alias("seed"))
+    return out.select(key, "start", "end", "token", "patterns", "inside", F.col("seed.kind").alias("kind"), F.col("seed.same").alias("same"))
 
 
 def may_be(kind: str, token: Column) -> Column:
@@ -131,7 +132,7 @@ def score_graph(tokens: DataFrame, scratch: Scratch, rounds: int = 3, least_seed
     is that at least one of its patterns is right. Seeds keep 1. The graph holds
     each pair of pattern and instance once, with its count.
     """
-    seen = tokens.where("not inside or kind is not null").select(F.explode("patterns").alias("pattern"), F.coalesce(F.concat(F.lit("="), "kind", F.lit(":"), "token"), "token").alias("instance"), "kind", "token")
+    seen = tokens.where("not inside or kind is not null").select(F.explode("patterns").alias("pattern"), F.coalesce(F.concat(F.lit("="), "kind", F.lit(":"), F.col("same").cast("string")), "token").alias("instance"), "kind", "token")
     edges = scratch.save(seen.groupBy("pattern", "instance").agg(F.first("kind").alias("seed"), F.first("token").alias("token"), F.count("*").alias("n")), "edges")
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     seeds = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
@@ -171,8 +172,8 @@ def personal(docs: DataFrame, rounds: int = 3, least: float = 0.6) -> DataFrame:
     tokens = scratch.save(context_tokens(rows, base, "row"), "tokens")
     scores = score_graph(tokens, scratch, rounds).where(F.col("score") >= least)
     best = scores.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
-    new = tokens.where("not inside and kind is null").drop("kind").join(best, F.col("token") == F.col("instance")).select("row", "kind", "start", "end")
-    spans = base.withColumn("base", F.lit(True)).unionByName(new.withColumn("base", F.lit(False)))
+    new = tokens.where("not inside and kind is null").drop("kind", "same").join(best, F.col("token") == F.col("instance")).select("row", "kind", "start", "end")
+    spans = base.drop("same").withColumn("base", F.lit(True)).unionByName(new.withColumn("base", F.lit(False)))
     rank = reduce(lambda a, k: a.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
     each = F.struct(rank.alias("rank"), "start", "end", F.concat_ws(":", "kind", "start", "end").alias("s"))
     mine = F.collect_list(F.when(F.col("base"), each))
