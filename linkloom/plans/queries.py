@@ -61,6 +61,11 @@ def missed(spark: SparkSession, d: str) -> DataFrame:
     return pairs.missed(truth(spark, d), structural(spark, d))
 
 
+def once(df: DataFrame) -> DataFrame:
+    """A small table that a plan reads many times, cut off by a checkpoint where a folder is set for it."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 STRUCTURAL = S.structural("docs_rec", STRUCTURAL_CAP)
 APPROXIMATE = S.approximate("docs_rec", APPROXIMATE_CAP, "acand")
 IDS = "source1_entity_id, candidate_entity_id"
@@ -85,7 +90,7 @@ _texts("folded_text", N.folded, lambda x: f"strip_accents({S.unicode_text(x)})")
 
 def _fields(name: str, records: Query, cte: str, rec: str, cols: dict[str, tuple]) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return records(spark, d).select("entity_id", *[c.alias(k) for k, (c, _) in cols.items()])
+        return records(spark, d).select("entity_id", *[c().alias(k) for k, (c, _) in cols.items()])
 
     QUERIES[name] = run
     ORACLE[name] = f"{S.with_(cte)}SELECT entity_id, {', '.join(f'{e} AS {k}' for k, (_, e) in cols.items())} FROM {rec}"
@@ -99,14 +104,14 @@ _fields(
     S.DOCUMENTS,
     "docs_rec",
     {
-        "structural_name": (N.structural_name(_n), S.structural_name(_n)),
-        "name_nosuffix": (N.name_without_suffix(_n), S.name_without_suffix(_n)),
-        "name_compact": (N.name_compact(_n), f"regexp_replace({S.name_without_suffix(_n)}, '[^a-z0-9]', '', 'g')"),
-        "name_sorted": (N.name_sorted(_n), S.joined_sorted(f"string_split({S.name_without_suffix(_n)}, ' ')")),
-        "structural_address": (N.structural_address(_a), S.structural_address(_a)),
-        "address_compact": (N.address_compact(_a), f"regexp_replace({S.structural_address(_a)}, '[^a-z0-9]', '', 'g')"),
-        "core_name": (N.core_name(_n), _core),
-        "sorted_name": (N.sorted_name(_n), S.joined_sorted(f"string_split({_core}, ' ')")),
+        "structural_name": (lambda: N.structural_name(_n), S.structural_name(_n)),
+        "name_nosuffix": (lambda: N.name_without_suffix(_n), S.name_without_suffix(_n)),
+        "name_compact": (lambda: N.name_compact(_n), f"regexp_replace({S.name_without_suffix(_n)}, '[^a-z0-9]', '', 'g')"),
+        "name_sorted": (lambda: N.name_sorted(_n), S.joined_sorted(f"string_split({S.name_without_suffix(_n)}, ' ')")),
+        "structural_address": (lambda: N.structural_address(_a), S.structural_address(_a)),
+        "address_compact": (lambda: N.address_compact(_a), f"regexp_replace({S.structural_address(_a)}, '[^a-z0-9]', '', 'g')"),
+        "core_name": (lambda: N.core_name(_n), _core),
+        "sorted_name": (lambda: N.sorted_name(_n), S.joined_sorted(f"string_split({_core}, ' ')")),
     },
 )
 
@@ -125,11 +130,11 @@ _fields(
     S.PAGES,
     "pages_rec",
     {
-        "number_key": (N.address_number_key(_a), S.number_key(_a)),
-        "number_runs": (_list(T.number_runs(_a)), _sqllist(f"regexp_extract_all({_a}, '\\p{{Nd}}+')")),
-        "numbers": (_list(T.sorted_numbers(_a)), _sqllist(S.numbers(_a), True)),
-        "first_run": (F.coalesce(T.first_run(_a), F.lit("")), f"coalesce(regexp_extract_all({_a}, '\\p{{Nd}}+')[1], '')"),
-        "least_number": (T.least_number(_a), f"coalesce(list_min(regexp_extract_all({_a}, '\\p{{Nd}}+')), '')"),
+        "number_key": (lambda: N.address_number_key(_a), S.number_key(_a)),
+        "number_runs": (lambda: _list(T.number_runs(_a)), _sqllist(f"regexp_extract_all({_a}, '\\p{{Nd}}+')")),
+        "numbers": (lambda: _list(T.sorted_numbers(_a)), _sqllist(S.numbers(_a), True)),
+        "first_run": (lambda: F.coalesce(T.first_run(_a), F.lit("")), f"coalesce(regexp_extract_all({_a}, '\\p{{Nd}}+')[1], '')"),
+        "least_number": (lambda: T.least_number(_a), f"coalesce(list_min(regexp_extract_all({_a}, '\\p{{Nd}}+')), '')"),
     },
 )
 _fields(
@@ -138,21 +143,21 @@ _fields(
     S.DOCUMENTS,
     "docs_rec",
     {
-        "tokens": (_list(T.tokens(_n)), _sqllist(S.words(S.unicode_text(_n)))),
-        "long_tokens": (_list(T.long_tokens(_n)), _sqllist(f"list_filter({S.words(S.unicode_text(_n))}, lambda w: length(w) >= 4)")),
-        "ascii_set": (_list(T.ascii_token_set(_n), True), _sqllist(S.distinct(S.words(S.ascii_text(_n))), True)),
-        "name_tokens": (_list(T.name_tokens(_n), True), _sqllist(S.name_tokens(_n), True)),
-        "address_tokens": (_list(T.address_tokens(_a), True), _sqllist(S.address_tokens(_a), True)),
+        "tokens": (lambda: _list(T.tokens(_n)), _sqllist(S.words(S.unicode_text(_n)))),
+        "long_tokens": (lambda: _list(T.long_tokens(_n)), _sqllist(f"list_filter({S.words(S.unicode_text(_n))}, lambda w: length(w) >= 4)")),
+        "ascii_set": (lambda: _list(T.ascii_token_set(_n), True), _sqllist(S.distinct(S.words(S.ascii_text(_n))), True)),
+        "name_tokens": (lambda: _list(T.name_tokens(_n), True), _sqllist(S.name_tokens(_n), True)),
+        "address_tokens": (lambda: _list(T.address_tokens(_a), True), _sqllist(S.address_tokens(_a), True)),
     },
 )
 _route_cols = {
-    "char4": (T.compact_grams(_n, 4), S.distinct(S.ngrams(S.compact(_n), 4))),
-    "name_grams": (T.name_grams(_n, 3), S.ngrams(f"replace({S.unicode_text(_n)}, ' ', '')", 3)),
-    "spaced3": (T.spaced_grams(_n, 3), S.distinct(S.ngrams(S.spaced(_n), 3))),
-    "sorted3": (T.sorted_grams(_n, 3), f"list_distinct(list_transform({S.ngrams(S.compact(_n), 3)}, lambda g: array_to_string(list_sort(string_split(g, '')), '')))"),
-    "masked3": (T.masked_grams(_a, 3), S.distinct(S.ngrams(S.masked(_a), 3))),
+    "char4": (lambda: T.compact_grams(_n, 4), S.distinct(S.ngrams(S.compact(_n), 4))),
+    "name_grams": (lambda: T.name_grams(_n, 3), S.ngrams(f"replace({S.unicode_text(_n)}, ' ', '')", 3)),
+    "spaced3": (lambda: T.spaced_grams(_n, 3), S.distinct(S.ngrams(S.spaced(_n), 3))),
+    "sorted3": (lambda: T.sorted_grams(_n, 3), f"list_distinct(list_transform({S.ngrams(S.compact(_n), 3)}, lambda g: array_to_string(list_sort(string_split(g, '')), '')))"),
+    "masked3": (lambda: T.masked_grams(_a, 3), S.distinct(S.ngrams(S.masked(_a), 3))),
 }
-_fields("gram_sets", pages, S.PAGES, "pages_rec", {k: (_list(c, True), _sqllist(e, True)) for k, (c, e) in _route_cols.items()})
+_fields("gram_sets", pages, S.PAGES, "pages_rec", {k: (lambda c=c: _list(c(), True), _sqllist(e, True)) for k, (c, e) in _route_cols.items()})
 
 
 def _keys(name: str, records: Query, made: Callable[[DataFrame], DataFrame], cte: str) -> None:
@@ -495,14 +500,14 @@ COMPOSITE_SWEEP = _near(S.component_keys("docs_rec", "kk"), COMPOSITE_VALUES) +
 
 @query(f"{CHAR_SWEEP} SELECT * FROM swept")
 def char_route_sweep(spark: SparkSession, d: str) -> DataFrame:
-    m = missed(spark, d)
-    return simulate.sweep(m, simulate.char_values(m, docs(spark, d), max(CAPS)), T.ROUTES, CAPS)
+    m = once(missed(spark, d))
+    return simulate.sweep(m, once(simulate.char_values(m, docs(spark, d), max(CAPS))), T.ROUTES, CAPS)
 
 
 @query(f"{COMPOSITE_SWEEP} SELECT * FROM swept")
 def composite_route_sweep(spark: SparkSession, d: str) -> DataFrame:
-    m = missed(spark, d)
-    return simulate.sweep(m, simulate.composite_values(m, docs(spark, d), max(CAPS)), K.COMPOSITES, CAPS)
+    m = once(missed(spark, d))
+    return simulate.sweep(m, once(simulate.composite_values(m, docs(spark, d), max(CAPS))), K.COMPOSITES, CAPS)
 
 
 @query(f"{COMPOSITE_SWEEP} SELECT route, cap AS best_cap, recovered, recovery_pct FROM swept QUALIFY row_number() OVER (PARTITION BY route ORDER BY recovered DESC, cap) = 1")
