@@ -42,7 +42,7 @@ def _fold(size: int):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        codec = pa.Codec("zstd", compression_level=1)
+        codec = pa.Codec("zstd", compression_level=3)
         ids: list[int] = []
         held: list[bytes] = []
         total = 0

@@ -24,11 +24,11 @@ from linkloom.llm.suffix_tree import RepeatTree
 GRAM = 50
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and gram hashes of the anchors of all strings of ``size`` bytes within documents."""
+def anchors(data: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and gram hashes of the anchors of all strings of ``size`` bytes within documents, and each string's least hash (0: crosses documents)."""
     n = len(data) - size + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     h = gram_hashes(data, gram) | np.uint64(1)
     w = size - gram + 1
     least = sliding(h, w, np.minimum)
@@ -37,7 +37,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[n
     pad = np.zeros(w - 1, np.uint64)
     best = sliding(np.concatenate([pad, least, pad]), w, np.maximum)
     at = np.nonzero((best == h) & (best > 0))[0]
-    return at, h[at]
+    return at, h[at], least
 
 
 def _code(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def _grams(size: int, gram: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = read_block(row)
-            _, h = anchors(block.bytes, block.ends, size, gram)
+            _, h, _ = anchors(block.bytes, block.ends, size, gram)
             bucket, code = _code(h, bits)
             key = np.sort((bucket.astype(np.uint64) << np.uint64(32)) | code)
             begins = groups_of(key)
@@ -128,7 +128,7 @@ HEAD_W = (("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("at", "<u
 
 def _body(head, values: dict, extra: bytes = b"") -> bytes:
     raw = b"".join([binary(values[k], kind) for k, kind in head]) + extra
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def _unbody(head, body: bytes, n: int) -> tuple[dict, np.ndarray]:
@@ -179,17 +179,26 @@ def _line_hashes(rows: np.ndarray, extra: tuple) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def _contexts(block: Block, at: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place in it, left and right lengths, and bytes of the contexts of anchors."""
+def _contexts(block: Block, at: np.ndarray, h: np.ndarray, least: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place in it, left and right lengths, and bytes of the contexts of anchors.
+
+    A context is the union of the strings whose anchor this is.
+    """
     d = np.searchsorted(block.ends, at, "right")
-    begins, ends = block.begins[d], block.ends[d]
-    left, right = np.minimum(at - begins, size - gram), np.minimum(ends - at, size)
-    cols = np.arange(gram - size, size)
+    reach = size - gram
+    left, right = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for lo in range(0, len(at), 20_000):
+        p = slice(lo, lo + 20_000)
+        start = at[p][:, None] - np.arange(reach + 1)  # strings from o = 0 on
+        own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == h[p][:, None])
+        right[p] = size - own.argmax(axis=1)
+        left[p] = reach - own[:, ::-1].argmax(axis=1)
+    cols = np.arange(-reach, size)
     where = at[:, None] + cols
     ctx = block.bytes[np.clip(where, 0, len(block.bytes) - 1)]
     ctx = np.where(ctx == 0, np.uint8(0xFF), ctx)
     ctx[(cols < -left[:, None]) | (cols >= right[:, None])] = 0
-    return d, at - begins, left, right, ctx
+    return d, at - block.begins[d], left, right, ctx
 
 
 def _gather(size: int, gram: int, bits: int):
@@ -198,7 +207,7 @@ def _gather(size: int, gram: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = read_block(row)
-            at, h = anchors(block.bytes, block.ends, size, gram)
+            at, h, least = anchors(block.bytes, block.ends, size, gram)
             bucket, code = _code(h, bits)
             key = (bucket.astype(np.uint64) << np.uint64(32)) | code
             wanted = {"codes": [np.empty(0, np.uint64)], "hot": [np.empty(0, np.uint64)]}
@@ -207,21 +216,20 @@ def _gather(size: int, gram: int, bits: int):
                     held.append((np.uint64(f["bucket"]) << np.uint64(32)) | np.frombuffer(f[k], "<u4").astype(np.uint64))
             hot = np.isin(key, np.concatenate(wanted["hot"]))
             keep = hot | np.isin(key, np.concatenate(wanted["codes"]))
-            at, bucket, hot = at[keep], bucket[keep], hot[keep]
+            at, h, bucket, hot = at[keep], h[keep], bucket[keep], hot[keep]
             out, gone = [], []
             for lo in range(0, len(at), 100_000):
                 part = slice(lo, lo + 100_000)
-                out += _one(block, at[part], bucket[part], hot[part], gone)
+                out += _one(block, at[part], h[part], least, bucket[part], hot[part], gone)
             begin, end = (np.concatenate(x) for x in zip(*gone)) if gone else (np.empty(0, np.int64),) * 2
-            out.append((REMOVED, None, block.number, 0, _intervals(begin, end)))
+            out.append((REMOVED, block.number & 0x3FFFFFFF, block.number, 0, _intervals(begin, end)))
             yield _batch(out, FOUND)
 
-    def _one(block, at, bucket, hot, gone) -> list:
-        d, pos, left, right, ctx = _contexts(block, at, size, gram)
+    def _one(block, at, h, least, bucket, hot, gone) -> list:
+        d, pos, left, right, ctx = _contexts(block, at, h, least, size, gram)
         doc = block.doc_ids[d]
         a, b = _line_hashes(ctx, (left, right))
         first, other = _first_of((a, b), doc, pos)
-        other = other[left[other] + right[other] >= size]
         gone.append((at[other] - left[other], at[other] + right[other]))
         out = []
         own = first[~hot[first]]
@@ -292,6 +300,9 @@ def _solve(size: int, gram: int):
         now, held = None, []
 
         def out():
+            if now[1] == REMOVED:
+                yield _batch([(r["block"], r["body"]) for r in held], GONE)
+                return
             for number, begin, end in (contexts if now[1] == CONTEXTS else windows)(held):
                 order = np.argsort(number, kind="stable")
                 gone = [(held[k]["block"], _intervals(begin[order[s]], end[order[s]])) for k, s in _split(number[order])]
@@ -355,21 +366,20 @@ def drop_repeats(docs: DataFrame, size: int = 100, gram: int = GRAM, hot_blocks:
     scratch = Scratch(spark, "repeats")
     blocks = write_blocks(docs, scratch, block_bytes)
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
-    bits = max(0, min(30, (int(total) // (12 << 20)).bit_length()))
+    bits = max(0, min(30, (int(total) // (4 << 20)).bit_length()))
     n = partitions(spark)
     grams = blocks.mapInArrow(_grams(size, gram, bits), GRAMS)
     flags = grams.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(hot_blocks), FLAGS)
-    flags = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes", "hot")).alias("flags"))
-    found = scratch.save(blocks.join(flags, "block").mapInArrow(_gather(size, gram, bits), FOUND), "found", codec="uncompressed")
-    del grams, flags
+    flags = scratch.save(flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes", "hot")).alias("flags")), "flags", codec="uncompressed")
+    del grams
     release(spark)
-    own = found.where(f"kind = {REMOVED}").select("block", "body")
-    spread = found.where(f"kind <> {REMOVED}").repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    gone = spread.mapInArrow(_solve(size, gram), GONE).unionByName(own)
-    gone = scratch.save(gone.groupBy("block").agg(F.collect_list("body").alias("gone")), "gone")
-    scratch.drop("found")
-    del found, own, spread
+    found = blocks.join(flags.hint("merge"), "block").mapInArrow(_gather(size, gram, bits), FOUND)
+    found = found.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    gone = found.mapInArrow(_solve(size, gram), GONE).groupBy("block").agg(F.collect_list("body").alias("gone"))
+    gone = scratch.save(gone, "gone", codec="uncompressed")
+    del flags, found
+    scratch.drop("flags")
     release(spark)
     schema = RESULT + (", kept binary" if keep_text else "")
-    cut = blocks.join(gone, "block", "left").mapInArrow(_cut(keep_text), schema)
+    cut = blocks.join(gone.hint("merge"), "block", "left").mapInArrow(_cut(keep_text), schema)
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
