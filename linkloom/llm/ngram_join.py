@@ -631,7 +631,7 @@ def near_duplicates(
     profile = scratch.save(blocks.mapInArrow(_profile(size), PROFILE), "profile")
     counts = blocks.mapInArrow(_token_counts(size, bits), COUNTS).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     flags = counts.mapInArrow(_frequent(frequent), FLAGS).groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("flags"))
-    keys = blocks.join(flags, "block", "left").mapInArrow(_keys(size, num, den, pairs_upto, bits), KEYS)
+    keys = blocks.join(flags.hint("merge"), "block", "left").mapInArrow(_keys(size, num, den, pairs_upto, bits), KEYS)
     stars = keys.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(num, den), "a long, b long")
     candidates = components(stars, scratch, "candidates")
     del counts, flags, keys, stars
@@ -639,7 +639,7 @@ def near_duplicates(
     sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("size")), "component")
     asked = sized.where(F.col("size") <= refine_upto).select(F.shiftright("node", 16).alias("block"), F.struct(F.col("component").alias("grp"), F.col("node").alias("place")).alias("w"))
     asked = asked.groupBy("block").agg(F.collect_list("w").alias("wanted"))
-    fine = blocks.join(asked, "block").mapInArrow(_histograms(size), HISTOGRAMS).repartition(n_parts, "grp").sortWithinPartitions("grp")
+    fine = blocks.join(asked.hint("merge"), "block").mapInArrow(_histograms(size), HISTOGRAMS).repartition(n_parts, "grp").sortWithinPartitions("grp")
     fine = fine.mapInArrow(_refine(num, den), "node long, component long")
     candidates = scratch.save(fine.unionByName(sized.where(F.col("size") > refine_upto).select("node", "component")), "groups")
     del sized, asked, fine
@@ -654,7 +654,7 @@ def near_duplicates(
         F.struct(F.when(F.col("parts") == 1, F.col("component")).otherwise(task).alias("grp"), F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2)).alias("part"), "place").alias("w"),
     )
     wanted = wanted.groupBy("block").agg(F.collect_list("w").alias("wanted"))
-    members = blocks.join(wanted, "block").mapInArrow(_members(size), MEMBERS).repartition(n_parts, "grp").sortWithinPartitions("grp")
+    members = blocks.join(wanted.hint("merge"), "block").mapInArrow(_members(size), MEMBERS).repartition(n_parts, "grp").sortWithinPartitions("grp")
     links = scratch.save(members.mapInArrow(_verify(num, den), LINKS), "links")
 
     equal = profile.select("doc_ids", "same").mapInArrow(_equal, NO_BODY)
