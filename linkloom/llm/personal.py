@@ -167,7 +167,9 @@ def personal(docs: DataFrame, rounds: int = 3, least: float = 0.6) -> DataFrame:
     prepare(spark)
     scratch = Scratch(spark, "personal")
     numbered = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = scratch.save(numbered.where(F.col("text").rlike("[0-9@]")).select("row", "text"), "rows")
+    # written once: a row's number need not be the same in a second scan
+    numbered = scratch.save(numbered.withColumn("text", F.when(F.col("text").rlike("[0-9@]"), F.col("text"))), "rows")
+    rows = numbered.where("text is not null").select("row", "text")
     base = scratch.save(base_spans(rows, "row"), "base")
     tokens = scratch.save(context_tokens(rows, base, "row"), "tokens")
     scores = score_graph(tokens, scratch, rounds).where(F.col("score") >= least)

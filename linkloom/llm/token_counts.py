@@ -57,29 +57,39 @@ def _per_document(vocab: str, common: dict[str, int]):
         pieces = Pieces(vocab)
         get = common.get
         for b in batches:
-            rows, tokens, freqs = [], [], []
-            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            cols: tuple[list, ...] = ([], [], [], [], [])
+            rows, docs, sizes, tokens, freqs = cols
+            for row, doc, size, t in zip(*(b.column(i).to_pylist() for i in range(4))):
                 pre, total = pieces.split(t)
                 for w, f in Counter(pre).items():
                     if (c := get(w)) is not None:
                         total += f * c
                     else:
                         rows.append(row)
+                        docs.append(None)
+                        sizes.append(None)
                         tokens.append(w)
                         freqs.append(f)
                 rows.append(row)
+                docs.append(doc)
+                sizes.append(size)
                 tokens.append(None)
                 freqs.append(total)
                 if len(rows) > 100_000:
-                    yield _waiting(rows, tokens, freqs)
-                    rows, tokens, freqs = [], [], []
-            yield _waiting(rows, tokens, freqs)
+                    yield _waiting(cols)
+                    for c in cols:
+                        c.clear()
+            yield _waiting(cols)
 
     return run
 
 
-def _waiting(rows, tokens, freqs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(tokens, pa.string()), pa.array(freqs, pa.int64())], names=["row", "pre_token", "f"])
+WAITING = "row long, doc_id long, n_bytes long, pre_token string, f long"
+
+
+def _waiting(cols) -> pa.RecordBatch:
+    i = pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (i, i, i, pa.string(), i))], names=[x.split()[0] for x in WAITING.split(", ")])
 
 
 def token_counts(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int = 1024, common: int = 200_000) -> DataFrame:
@@ -101,10 +111,11 @@ def token_counts(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int =
     top = counted.orderBy(F.desc("n"), "pre_token").limit(common).select("pre_token", "pieces").toArrow().to_pydict()
     known = dict(zip(top["pre_token"], top["pieces"]))
 
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    waiting = scratch.save(numbered.select("row", "text").mapInArrow(_per_document(vocab, known), "row long, pre_token string, f long"), "frequencies")
-    rare = waiting.where("pre_token is not null").join(counted.select("pre_token", "pieces"), "pre_token")
-    sums = rare.select("row", (F.col("f") * F.col("pieces")).alias("t")).unionByName(waiting.where("pre_token is null").select("row", F.col("f").alias("t")))
-    sums = sums.groupBy("row").agg(F.sum("t").alias("n_tokens"))
-    ids = numbered.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return ids.join(sums, "row").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    # written once: a row's number need not be the same in a second scan
+    waiting = scratch.save(numbered.mapInArrow(_per_document(vocab, known), WAITING), "frequencies")
+    own = waiting.where("pre_token is null").select("row", "doc_id", "n_bytes", F.col("f").alias("t"))
+    rare = waiting.where("pre_token is not null").select("row", "pre_token", "f").join(counted.select("pre_token", "pieces"), "pre_token")
+    sums = rare.groupBy("row").agg(F.sum(F.col("f") * F.col("pieces")).alias("more"))
+    out = own.join(sums, "row", "left").withColumn("n_tokens", F.col("t") + F.coalesce("more", F.lit(0)))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
