@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import NO_ID, Scratch, texts
+from linkloom.llm.common import NO_ID, Scratch, texts, trim
 
 BLOCK_BYTES = 2 << 20
 
@@ -87,6 +87,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
+    trim()
 
 
 def binary(x: np.ndarray, kind: str) -> bytes:

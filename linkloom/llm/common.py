@@ -8,6 +8,7 @@ without rows.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -41,7 +42,7 @@ def ship(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> None:
     """Ships the code and bounds Arrow batches by bytes, so that long texts cannot fill a worker."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 2**20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 2**20))
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -83,7 +84,10 @@ class Scratch:
 
     def save(self, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
         at = f"{self.path}/{label}"
-        df.write.option("compression", codec).parquet(at)
+        writer = df.write.option("compression", codec)
+        if codec == "uncompressed":  # packed bytes, which no dictionary shortens
+            writer = writer.option("parquet.enable.dictionary", "false")
+        writer.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, label: str) -> None:
@@ -102,6 +106,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that a finished task has freed back to the system: a worker serves many tasks of many operators."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only some C libraries have it
+        pass
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, all other characters as they are."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

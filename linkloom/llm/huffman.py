@@ -81,23 +81,25 @@ def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, n
 
 def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, segment: int) -> tuple[bytes, np.ndarray]:
     """The packed codes, and the bit at which each segment begins."""
-    bits_of = lengths[ids]
-    if len(ids) and not bits_of.all():
+    bits = lengths.astype(np.uint64)
+    if len(ids) and not lengths[ids].all():
         raise ValueError("an id has no code")
-    ends = np.cumsum(bits_of, dtype=np.uint64)
+    left = codes.astype(np.uint64) << ((np.uint64(64) - bits) & np.uint64(63))
+    ends = np.cumsum(bits[ids], dtype=np.uint64)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.uint64)[::segment] if len(ids) else np.empty(0, np.uint64)
     words = np.zeros((int(ends[-1]) >> 5) + 2 if len(ids) else 0, np.uint32)
-    for i in range(0, len(ids), 1 << 19):
-        p = slice(i, i + (1 << 19))
-        n = bits_of[p].astype(np.uint64)
-        at = ends[p] - n
+    step = 1 << 16  # small enough to stay in a core's cache
+    for i in range(0, len(ids), step):
+        own = ids[i : i + step]
+        at = ends[i : i + step] - bits[own]
         # each code lies within the 64 bits from the word in which it begins
-        value = codes[ids[p]].astype(np.uint64) << (np.uint64(64) - (at & np.uint64(31)) - n)
+        value = left[own] >> (at & np.uint64(31))
         word = (at >> np.uint64(5)).astype(np.int64)
         first = np.concatenate([[0], np.nonzero(word[1:] != word[:-1])[0] + 1])
         both = np.bitwise_or.reduceat(value, first)
-        words[word[first]] |= (both >> np.uint64(32)).astype(np.uint32)
-        words[word[first] + 1] |= both.astype(np.uint32)
+        at = word[first]
+        words[at] |= (both >> np.uint64(32)).astype(np.uint32)
+        words[at + 1] |= both.astype(np.uint32)
     size = -(-int(ends[-1]) // 8) if len(ids) else 0
     return words.astype(">u4").tobytes()[:size], begins
 

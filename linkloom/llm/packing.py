@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import prepare, texts
+from linkloom.llm.common import prepare, texts, trim
 from linkloom.llm.vocab import word_ids
 
 #: Context sizes, all powers of two; the last is the longest sequence.
-TIERS = (256, 1024, 1024, 2048)
+TIERS = (256, 512, 1024, 2048)
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -123,6 +123,7 @@ def _pack(vocab: str, end_id: int, block: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        trim()
         words = word_ids(vocab)
         end = np.array([end_id], words.dtype).tobytes()
         base = TaskContext.get().partitionId() << 32
@@ -158,9 +159,9 @@ def _pack(vocab: str, end_id: int, block: int, step: int):
 
         for b in batches:
             ids, doc_ids = b.column(0), b.column(1).to_pylist()
-            for lo in range(0, b.num_rows, 1024):
-                part = ids.slice(lo, 1024).to_pylist()
-                for doc_id, own in zip(doc_ids[lo : lo + 1024], words.encode(part)):
+            for lo in range(0, b.num_rows, 512):
+                part = ids.slice(lo, 512).to_pylist()
+                for doc_id, own in zip(doc_ids[lo : lo + 512], words.encode(part)):
                     held.append((doc_id, own + end))
                     tokens += len(own) // width + 1
                 if tokens >= block:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Scratch, prepare, row_key, same_rows
+from linkloom.llm.common import Scratch, prepare, row_key, same_rows, trim
 from linkloom.llm.vocab import vocabulary
 
 #: First and last code points of blocks that tell scripts apart.
@@ -118,6 +118,7 @@ def _measure(model: str):
                 kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *cols], names=["row", "lang", *names])
+        trim()
 
     return run
 

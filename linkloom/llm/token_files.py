@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import huffman
-from linkloom.llm.common import NO_ID, Scratch, prepare, texts
+from linkloom.llm.common import NO_ID, Scratch, prepare, texts, trim
 from linkloom.llm.vocab import load, word_ids
 
 
@@ -26,6 +27,7 @@ def _tokenise(vocab: str, end_id: int, size: int):
     """Rows of documents, and at a task's end one with the counts of all its ids (n is -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         words = word_ids(vocab)
         end = np.array([end_id], words.dtype).tobytes()
         total = np.zeros(size, np.int64)
@@ -49,6 +51,15 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
 
+def _joined(column: pa.BinaryArray, kind: str) -> np.ndarray:
+    """All values of a column without nulls, one after the other, as they lie in memory."""
+    if not len(column):
+        return np.empty(0, kind)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i4", len(column) + 1, 4 * column.offset)
+    return np.frombuffer(data, kind, (at[-1] - at[0]) // np.dtype(kind).itemsize, at[0]).copy() if at[-1] > at[0] else np.empty(0, kind)
+
+
 def _write(folder: str, lengths: np.ndarray, kind: str):
     codes = huffman.canonical_codes(lengths)
 
@@ -59,7 +70,7 @@ def _write(folder: str, lengths: np.ndarray, kind: str):
         for b in batches:
             doc_ids.append(b.column(0).to_numpy(zero_copy_only=False))
             counts.append(b.column(1).to_numpy(zero_copy_only=False))
-            ids.append(np.frombuffer(b"".join(b.column(2).to_pylist()), kind))
+            ids.append(_joined(b.column(2), kind))
         if doc_ids:
             part = TaskContext.get().partitionId()
             content = huffman.write_file(np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids), lengths, codes)
@@ -74,21 +85,25 @@ def _write(folder: str, lengths: np.ndarray, kind: str):
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-            part = int(path.rpartition("part-")[2].split(".")[0])
-            doc_ids, counts, ids = huffman.read_file(content.as_buffer().to_pybytes())
-            ids = ids.astype("<u4")
-            ends = np.cumsum(counts.astype(np.int64))
-            begins = ends - counts.astype(np.int64)
-            for lo in range(0, len(doc_ids), 2000):
-                own = [ids[s:e].tobytes() for s, e in zip(begins[lo : lo + 2000], ends[lo : lo + 2000])]
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int64()), pa.array(doc_ids[lo : lo + n]), pa.array(begins[lo : lo + n]), pa.array(counts[lo : lo + n].astype(np.int64)), pa.array(own, pa.binary())],
-                    names=["part", "doc_id", "start", "n_tokens", "ids"],
-                )
+def _read(checksums: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                part = int(path.rpartition("part-")[2].split(".")[0])
+                doc_ids, counts, ids = huffman.read_file(content.as_buffer().to_pybytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                ends = np.cumsum(counts.astype(np.int64))
+                begins = ends - counts.astype(np.int64)
+                for lo in range(0, len(doc_ids), 2000):
+                    at = [raw[4 * s : 4 * e] for s, e in zip(begins[lo : lo + 2000].tolist(), ends[lo : lo + 2000].tolist())]
+                    n = len(at)
+                    own = pa.array([zlib.crc32(x) for x in at], pa.int64()) if checksums else pa.array([bytes(x) for x in at], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part] * n, pa.int64()), pa.array(doc_ids[lo : lo + n]), pa.array(begins[lo : lo + n]), pa.array(counts[lo : lo + n].astype(np.int64)), own],
+                        names=["part", "doc_id", "start", "n_tokens", "ids_crc32" if checksums else "ids"],
+                    )
+
+    return run
 
 
 def write_token_files(docs: DataFrame, folder: str, vocab: str = "word_bpe_49k.json", end_id: int = 1, per_file: int = 8_000_000) -> DataFrame:
@@ -105,7 +120,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str = "word_bpe_49k.j
     size = load(vocab).get_vocab_size()
     kind = "<u2" if size <= 65536 else "<u4"
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    ids = scratch.save(rows.mapInArrow(_tokenise(vocab, end_id, size), "doc_id long, n long, ids binary"), "ids")
+    ids = scratch.save(rows.mapInArrow(_tokenise(vocab, end_id, size), "doc_id long, n long, ids binary"), "ids", codec="uncompressed")
     counts = np.zeros(size, np.int64)
     counted = ids.where("n < 0").select("ids").mapInArrow(_spell, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
@@ -117,13 +132,14 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str = "word_bpe_49k.j
     return files
 
 
-def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian, 32 bits) of each document in the files."""
+def read_token_files(spark: SparkSession, folder: str, files: DataFrame, checksums: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian, 32 bits) of each document in the files; with ``checksums``, ids_crc32 in place of ids."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder).select("path", "content")
-    docs = content.mapInArrow(_read, "part long, doc_id long, start long, n_tokens long, ids binary")
-    return docs.join(base, "part").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
+    last = "ids_crc32 long" if checksums else "ids binary"
+    docs = content.mapInArrow(_read(checksums), f"part long, doc_id long, start long, n_tokens long, {last}")
+    return docs.join(base, "part").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", last.split()[0])
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
@@ -133,5 +149,4 @@ def round_trip(docs: DataFrame) -> DataFrame:
     files = write_token_files(docs, f"{scratch.path}/tokens")
     if not files.take(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    back = read_token_files(spark, f"{scratch.path}/tokens", files)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, f"{scratch.path}/tokens", files, checksums=True)

@@ -71,7 +71,7 @@ class WordIds:
     other, ends a word in this kind of vocabulary, which parts them again.
     """
 
-    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 400_000) -> None:
+    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 250_000) -> None:
         import json
 
         import regex
@@ -85,6 +85,7 @@ class WordIds:
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith(suffix)
         self.cache = TwoGenerations(limit)
+        self.marks: dict[str, bytes] = {}
 
     def _library(self, words: list[str]) -> dict[str, bytes]:
         e = self.tok.encode_batch_fast([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)], add_special_tokens=False)
@@ -101,15 +102,23 @@ class WordIds:
 
     def _learn(self, chunks: list[str]) -> None:
         """Puts chunks into the cache: words as the library has them, others made of their parts."""
-        cache, old = self.cache, self.cache.old
-        new = [c for c in chunks if c.isalpha()]
-        parted: list[tuple[str, list[str]]] = []
-        parts = set()
+        cache, old, marks = self.cache, self.cache.old, self.marks
+        new, marked, others, parts = [], [], [], set()
         for c in chunks:
-            if not c.isalpha():
-                core = c.rstrip(MARKS)
-                ws = [core, c[len(core) :]] if core.isalpha() else self.find(c)
-                parted.append((c, ws))
+            if c.isalpha():
+                new.append(c)
+                continue
+            core = c.rstrip(MARKS)
+            if core.isalpha():
+                tail = c[len(core) :]  # marks without letters are one word
+                if core not in cache:
+                    parts.add(core)
+                if tail not in marks:
+                    marks[tail] = np.array(self.tok.encode(tail, add_special_tokens=False).ids, self.dtype).tobytes()
+                marked.append((c, core, tail))
+            else:
+                ws = self.find(c)
+                others.append((c, ws))
                 parts.update(ws)
         for w in parts.difference(cache, new):
             if (b := old.get(w)) is None:
@@ -118,8 +127,12 @@ class WordIds:
                 cache[w] = b
         for i in range(0, len(new), 8192):
             cache.update(self._library(new[i : i + 8192]))
-        for c, ws in parted:
+        for c, core, tail in marked:
+            cache[c] = cache[core] + marks[tail]
+        for c, ws in others:
             cache[c] = b"".join([cache[w] for w in ws])
+        if len(marks) > 10_000:
+            marks.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``dtype``."""
