@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Scratch, prepare, row_key, same_rows, trim
+from linkloom.llm.common import Scratch, lower_ascii, prepare, row_key, same_rows, trim
 from linkloom.llm.vocab import vocabulary
 
 #: First and last code points of blocks that tell scripts apart.
@@ -128,14 +128,36 @@ def _measure(model: str):
 FENCES = {"chars_per_token": (3.0, 3.0, 0.12), "byte_share": (None, 3.0, 0.008), "token_entropy": (3.0, None, 0.015)}
 
 
+#: Least and greatest of each measure that prose of a script may have,
+#: whatever the corpus holds. The vocabulary has words of Latin and Cyrillic, and
+#: of the others letters only: a token is a letter there and entropy is lower.
+#: Entropy of Latin lies below the least of labelled good documents of sf0.1
+#: (0.768); the rest is set wide around a paragraph of prose in 15 languages.
+LIMITS = {
+    "latin": {"chars_per_token": (1.0, 8.0), "byte_share": (None, 0.25), "token_entropy": (0.75, None)},
+    "cyrillic": {"chars_per_token": (0.7, 8.0), "byte_share": (None, 0.25), "token_entropy": (0.65, None)},
+    **{s: {"chars_per_token": (0.4, 4.0), "byte_share": (None, 0.4), "token_entropy": (0.45, None)} for s in ("greek", "hebrew", "arabic", "devanagari", "thai")},
+    **{s: {"chars_per_token": (0.3, 4.0), "byte_share": (None, 0.6), "token_entropy": (0.5, None)} for s in ("kana", "hangul", "han")},
+    "none": {"token_entropy": (0.3, None)},
+}
+
+#: Different texts that a band needs; with fewer, the fixed limits hold alone.
+LEAST_TEXTS = 50
+
+
 def bands(stats: DataFrame) -> DataFrame:
     """For each language (without one: script), the least and greatest accepted value of each measure.
 
-    Quartiles are exact over all documents that pass the base rules, of values
-    rounded to a thousandth, so that their state stays small at any size.
+    Quartiles are exact over the different texts that pass the base rules and the
+    fixed limits, of values rounded to a thousandth, so that their state stays
+    small at any size.
+    Copies (as exact dedup sees them) count once: no text moves a band by its
+    number. Languages with fewer than ``LEAST_TEXTS`` of them have no band.
     """
-    q = {m: F.percentile(F.round(m, 3), F.array(F.lit(0.25), F.lit(0.75))) for m in FENCES}
-    out = stats.where("not base_failed").groupBy("band").agg(*[c.alias(m) for m, c in q.items()])
+    sound = reduce(lambda a, m: a & possible(m), FENCES, ~F.col("base_failed"))
+    once = stats.where(sound).groupBy("band", "copy").agg(*[F.min(F.round(m, 3)).alias(m) for m in FENCES])
+    q = {m: F.percentile(m, F.array(F.lit(0.25), F.lit(0.75))) for m in FENCES}
+    out = once.groupBy("band").agg(F.count("*").alias("texts"), *[c.alias(m) for m, c in q.items()]).where(F.col("texts") >= LEAST_TEXTS)
     cols = []
     for m, (below, above, least) in FENCES.items():
         a, b = F.col(m)[0], F.col(m)[1]
@@ -149,29 +171,40 @@ def within(m: str) -> Column:
     return F.coalesce(x.isNotNull() & (x >= F.coalesce(f"{m}_min", x)) & (x <= F.coalesce(f"{m}_max", x)), F.lit(False))
 
 
+def possible(m: str) -> Column:
+    """Whether a measure lies within the fixed limits of the text's script."""
+    x, ok = F.col(m), F.lit(True)
+    for script, limits in LIMITS.items():
+        a, b = limits.get(m, (None, None))
+        outside = (x < a if a is not None else F.lit(False)) | (x > b if b is not None else F.lit(False))
+        ok = ok & ~((F.col("script") == script) & outside)
+    return F.coalesce(ok, F.lit(False))
+
+
 def quality(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """One row for each row of ``docs``: doc_id, word statistics, base_failed, kept, the measures, row.
 
     base_failed: under 50 words, or over half of them in repeated 3-word
     windows. Others are kept if characters per token, byte-fallback share and
-    token entropy (in blocks of 128 tokens) lie within the bands of
-    their language, or of their script where lang is null. Bands come from the
-    quartiles of the documents themselves: texts that a vocabulary splits far
-    worse or better than it splits most texts of that language go.
+    token entropy (in blocks of 128 tokens) lie within the fixed
+    limits of their script, and within the bands of their language, or of their
+    script where lang is null. Bands come from the quartiles of the different
+    texts themselves: those that a vocabulary splits far worse or better than it
+    splits most texts of that language go. Languages of few texts have no band.
     """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "quality")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang")).select("*", F.monotonically_increasing_id().alias("row"), row_key().alias("row_hash"))
-    kind = "row struct<row:long,doc_id:long,row_hash:long>"
-    measured = rows.select("text", F.struct("row", "doc_id", "row_hash").alias("row"), "lang").mapInArrow(_measure(model), f"{kind}, lang string, {STATS}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang")).select("*", F.monotonically_increasing_id().alias("row"), row_key().alias("row_hash"), F.xxhash64(lower_ascii(F.col("text"))).alias("copy"))
+    kind = "row struct<row:long,doc_id:long,row_hash:long,copy:long>"
+    measured = rows.select("text", F.struct("row", "doc_id", "row_hash", "copy").alias("row"), "lang").mapInArrow(_measure(model), f"{kind}, lang string, {STATS}")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     band = F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
-    saved = scratch.save(measured.select(F.col("row.row").alias("row"), F.col("row.doc_id").alias("doc_id"), F.col("row.row_hash").alias("row_hash"), *[x.split()[0] for x in STATS.split(", ")], failed.alias("base_failed"), band.alias("band")), "stats")
+    saved = scratch.save(measured.select(F.col("row.row").alias("row"), F.col("row.doc_id").alias("doc_id"), F.col("row.row_hash").alias("row_hash"), F.col("row.copy").alias("copy"), *[x.split()[0] for x in STATS.split(", ")], failed.alias("base_failed"), band.alias("band")), "stats")
     kept = ~F.col("base_failed")
     for m in FENCES:
-        kept = kept & within(m)
+        kept = kept & within(m) & possible(m)
     limits = scratch.save(bands(saved), "bands")  # a table of its own: a join to an aggregate could not split a large language
     return saved.join(limits, "band", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "chars_per_token", "byte_share", "token_entropy", "band", "row", "row_hash")
 

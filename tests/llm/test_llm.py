@@ -133,6 +133,31 @@ def test_quality_rejects_what_a_vocabulary_does_not_fit(spark, documents):
     assert kept[10**6] is False and sum(kept.values()) > 100
 
 
+def few_words(seed):
+    """Passes the base rules, but all of it is twenty words."""
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice("table river seven under green money house light paper stone water glass north plant eight sound field black round chair".split(), 240))
+
+
+def test_copies_do_not_move_quality_bands(spark, documents):
+    junk, schema = few_words(0), documents.schema
+    without = {r.doc_id: r.kept for r in quality.quality(documents).collect()}
+    for text in (junk, documents.where("lang = 'en' and n_chars > 2000").orderBy("doc_id").head().text):
+        copies = spark.createDataFrame([(10**6 + i, text, "en", "s", 0) for i in range(500)], schema)
+        got = {r.doc_id: r.kept for r in quality.quality(documents.unionByName(copies)).collect()}
+        assert {i: k for i, k in got.items() if i < 10**6} == without
+        assert len({k for i, k in got.items() if i >= 10**6}) == 1 and got[10**6] == (text != junk)
+
+
+def test_quality_has_limits_without_a_band(spark, documents):
+    good = [r.text for r in documents.where("lang = 'en' and n_chars > 2000").orderBy("doc_id").limit(3).collect()]
+    own = [(i, few_words(i), "xx") for i in range(100)] + [(1000 + i, t, "xx") for i, t in enumerate(good)]  # mostly junk
+    own += [(2000, few_words(200), "yy"), *[(3000 + i, t, "yy") for i, t in enumerate(good)]]  # too few for a band
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(spark.createDataFrame(own, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == (False, False) for i in [*range(100), 2000])
+    assert all(got[1000 + i] == got[3000 + i] == (False, True) for i in range(3))
+
+
 def test_personal(odd, documents, rows):
     hard = [(i, t) for i, t in enumerate(["a@b.c_d@e.f.g", "1.2.3.4.5.6.7.8", "4111-1111-1111-1111 5", "++1 234 567 890", "1" * 3000, "1 " * 3000, "a." * 3000, "+1" + "-2" * 3000, "a@b..c", "00255.1.1.1"])]
     for df, own in ((odd, ODD), (documents, rows), (odd.sparkSession.createDataFrame(hard, "doc_id long, text string"), hard)):
