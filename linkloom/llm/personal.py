@@ -32,6 +32,9 @@ SPACE = r"\x20\x09-\x0D"
 #: Words that may be identifiers: with a digit or an at sign.
 TOKEN = rf"(?:\G|(?<![^{SPACE}]))[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 
+#: Runs of digit groups, bare or in brackets, joined by single spaces, hyphens or dots.
+RUN = r"(?<![\p{L}0-9+])\+?(?:\([0-9]++\)|[0-9]++)(?:[\x20.-]?(?:\([0-9]++\)|[0-9]++))++"
+
 #: Characters on either side in which context words are looked for.
 REACH = 80
 
@@ -87,34 +90,41 @@ def base_spans(rows: DataFrame, key: str) -> DataFrame:
 
 
 def context_tokens(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Words that may be identifiers, with their contexts; ``kind`` where a base span begins in one, ``inside`` where one overlaps it.
+    """Words and spaced runs that may be identifiers, with their contexts; ``kind`` where a base span begins in one, ``inside`` where one overlaps it.
 
-    Punctuation around a word is not part of it. Contexts are lower-case words
-    within 80 characters: the two before ("a b _"), and one on either side ("b _ c").
+    Punctuation around a word is not part of it. A run (``run``) has spaces and as
+    many digits as a phone or card; a base span is its kind where both begin.
+    Contexts are lower-case words within 80 characters: the two before ("a b _"),
+    and one on either side ("b _ c"), outside the whole run. Of an unseen run's own
+    words, those that look like no kind are left out, as the run stands for them.
     """
-    t = places(rows, TOKEN, key)
-    core = F.regexp_extract("found", r"[\p{L}0-9@+](?:.*[\p{L}0-9])?", 0)
-    lead = F.length(F.regexp_extract("found", r"^[^\p{L}0-9@+]*", 0))
+    spaced = places(rows.where(F.col("text").rlike(r"[0-9]\)?[\x20]\(?[0-9]")), RUN, key)
+    spaced = spaced.where(F.contains("found", F.lit(" ")) & (may_be("phone", F.col("found")) | may_be("card", F.col("found"))))
+    t = places(rows, TOKEN, key).withColumn("run", F.lit(False)).unionByName(spaced.withColumn("run", F.lit(True)))
+    core = F.when(F.col("run"), F.col("found")).otherwise(F.regexp_extract("found", r"[\p{L}0-9@+](?:.*[\p{L}0-9])?", 0))
+    lead = F.when(F.col("run"), 0).otherwise(F.length(F.regexp_extract("found", r"^[^\p{L}0-9@+]*", 0)))
     before = F.filter(F.split(F.lower(F.substring("gap", -REACH, REACH)), rf"[{SPACE}]+"), lambda x: x != "")
     behind = F.filter(F.split(F.lower(F.substring("after", 1, REACH)), rf"[{SPACE}]+"), lambda x: x != "")
-    t = t.select(key, (F.col("start") + lead).alias("start"), core.alias("token"), before.alias("before"), behind.alias("behind")).where("token <> ''")
+    t = t.select(key, "run", (F.col("start") + lead).alias("start"), core.alias("token"), before.alias("before"), behind.alias("behind")).where("token <> ''")
     one, two = F.try_element_at("before", F.lit(-1)), F.try_element_at("before", F.lit(-2))
     patterns = F.filter(
         F.array(F.when(two.isNotNull(), F.concat(two, F.lit(" "), one, F.lit(" _"))), F.when(one.isNotNull(), F.concat(one, F.lit(" _ "), F.coalesce(F.try_element_at("behind", F.lit(1)), F.lit("$"))))),
         lambda x: x.isNotNull(),
     )
-    t = t.select(key, "start", (F.col("start") + F.length("token")).alias("end"), "token", patterns.alias("patterns"))
-    both = t.withColumns({"kind": F.lit(None).cast("string"), "same": F.lit(None).cast("long")}).unionByName(spans.select(key, "start", "end", "kind", "same", F.lit(None).cast("string").alias("token"), F.lit(None).cast("array<string>").alias("patterns")))
-    order = Window.partitionBy(key).orderBy("start", F.col("token").isNotNull())
+    t = t.select(key, "run", "start", (F.col("start") + F.length("token")).alias("end"), "token", patterns.alias("patterns"))
+    both = t.withColumns({"kind": F.lit(None).cast("string"), "same": F.lit(None).cast("long")}).unionByName(spans.select(key, F.lit(False).alias("run"), "start", "end", "kind", "same", F.lit(None).cast("string").alias("token"), F.lit(None).cast("array<string>").alias("patterns")))
+    order = Window.partitionBy(key).orderBy("start", F.col("token").isNotNull(), ~F.col("run"))
     is_span = F.col("token").isNull()
     reached = F.max(F.when(is_span, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     nearest = F.max(F.when(is_span, F.struct("start", "kind", "same"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     following = F.first(F.when(is_span, F.struct("start", "kind", "same")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    out = both.select(key, "start", "end", "token", "patterns", reached.alias("reached"), nearest.alias("nearest"), following.alias("following")).where("token is not null")
+    covered = F.max(F.when(F.col("run"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    out = both.select(key, "run", "start", "end", "token", "patterns", covered.alias("covered"), reached.alias("reached"), nearest.alias("nearest"), following.alias("following")).where("token is not null")
     inside = F.coalesce(F.col("reached") > F.col("start"), F.lit(False)) | F.coalesce(F.col("following.start") < F.col("end"), F.lit(False))
-    begins = F.when(F.col("following.start").between(F.col("start"), F.col("end") - 1), F.col("following")).when((F.col("nearest.start") == F.col("start")) & (F.col("reached") > F.col("start")), F.col("nearest"))
-    out = out.select(key, "start", "end", "token", "patterns", inside.alias("inside"), begins.alias("seed"))
-    return out.select(key, "start", "end", "token", "patterns", "inside", F.col("seed.kind").alias("kind"), F.col("seed.same").alias("same"))
+    begins = F.when(~F.col("run") & F.col("following.start").between(F.col("start"), F.col("end") - 1), F.col("following")).when((F.col("nearest.start") == F.col("start")) & (F.col("reached") > F.col("start")), F.col("nearest"))
+    out = out.select(key, "run", "start", "end", "token", "patterns", "covered", inside.alias("inside"), begins.alias("seed"))
+    part = ~F.col("run") & ~F.col("inside") & F.coalesce(F.col("covered") > F.col("start"), F.lit(False)) & ~reduce(lambda a, k: a | may_be(k, F.col("token")), KINDS, F.lit(False))
+    return out.where(~part).select(key, "run", "start", "end", "token", "patterns", "inside", F.col("seed.kind").alias("kind"), F.col("seed.same").alias("same"))
 
 
 def may_be(kind: str, token: Column) -> Column:
@@ -153,12 +163,22 @@ def score_graph(tokens: DataFrame, scratch: Scratch, rounds: int = 3, least_seed
     return scores
 
 
+def apart(found: DataFrame, key: str) -> DataFrame:
+    """Of a found run and found words in it, the run, unless a word scores higher."""
+    turn = F.sum(F.col("run").cast("int")).over(Window.partitionBy(key).orderBy("start", ~F.col("run")).rowsBetween(Window.unboundedPreceding, 0))
+    of = Window.partitionBy(key, "turn")
+    found = found.withColumn("turn", turn).withColumns({"run_end": F.max(F.when(F.col("run"), F.col("end"))).over(of), "run_score": F.max(F.when(F.col("run"), F.col("score"))).over(of)})
+    part = ~F.col("run") & F.coalesce(F.col("run_end") > F.col("start"), F.lit(False))
+    found = found.withColumn("part", part).withColumn("run_stays", F.coalesce(F.col("run_score") >= F.max(F.when(F.col("part"), F.col("score"))).over(of), F.lit(True)))
+    return found.where((~F.col("part") & ~F.col("run")) | (F.col("run") == F.col("run_stays")))
+
+
 def personal(docs: DataFrame, rounds: int = 3, least: float = 0.6) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and spans for each row of ``docs``.
 
     Base spans are the valid matches of the fixed patterns. They are the seeds:
-    their contexts induce patterns, patterns and the words seen in them score
-    each other over ``rounds``, and words of score ``least`` or more that look
+    their contexts induce patterns, patterns and the words (and spaced runs of
+    digits) seen in them score each other over ``rounds``, and those of score ``least`` or more that look
     like the kind and lie outside all base spans are spans too (of the kind that
     scores highest; ties: the first by name). Only texts with a digit or an at
     sign can hold spans; the others leave after one look.
@@ -173,8 +193,9 @@ def personal(docs: DataFrame, rounds: int = 3, least: float = 0.6) -> DataFrame:
     base = scratch.save(base_spans(rows, "row"), "base")
     tokens = scratch.save(context_tokens(rows, base, "row"), "tokens")
     scores = score_graph(tokens, scratch, rounds).where(F.col("score") >= least)
-    best = scores.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
-    new = tokens.where("not inside and kind is null").drop("kind", "same").join(best, F.col("token") == F.col("instance")).select("row", "kind", "start", "end")
+    best = scores.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"), F.max("score").alias("score"))
+    new = tokens.where("not inside and kind is null").drop("kind", "same").join(best, F.col("token") == F.col("instance"))
+    new = apart(new.select("row", "run", "kind", "start", "end", "score"), "row").select("row", "kind", "start", "end")
     spans = base.drop("same").withColumn("base", F.lit(True)).unionByName(new.withColumn("base", F.lit(False)))
     rank = reduce(lambda a, k: a.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
     each = F.struct(rank.alias("rank"), "start", "end", F.concat_ws(":", "kind", "start", "end").alias("s"))

@@ -173,6 +173,22 @@ def test_personal_learns_contexts(spark):
     assert got[101].startswith("phone:8:17")  # the same instance, known by then
 
 
+def test_personal_learns_spaced_runs(spark):
+    def card(i):
+        body = f"4111 1111 1{i:03d} 111"
+        return body + next(str(d) for d in range(10) if brute.base_spans(f"{body}{d}")[2])
+
+    said = [(i, f"Well, please call me at +1 234 567 8{i:03d} today") for i in range(20)]
+    said += [(100 + i, f"You can pay with card {card(i)} here") for i in range(20)]
+    unseen = {200: "(017) 555 7713", 201: "1 (017) 555-7713", 202: "017 555.7714", 203: "555-77131"}
+    said += [(i, f"Well, please call me at {x} today") for i, x in unseen.items()]
+    said += [(300, "You can pay with card 4111 1111 1111 1112 here"), (301, "There were 017 555 7715 of them"), (302, "Well, please call me at 555-12345 2 today")]
+    got = {r.doc_id: r.spans for r in personal.personal(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    for i, x in unseen.items():
+        assert got[i] == f"phone:24:{24 + len(x)}"
+    assert got[300] == "card:22:41" and got[301] == "" and got[302].startswith("phone:24:")
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
