@@ -125,17 +125,16 @@ def _pack(vocab: str, end_id: int, block: int, step: int):
 
         trim()
         words = word_ids(vocab)
-        end = np.array([end_id], words.dtype).tobytes()
         base = TaskContext.get().partitionId() << 32
-        width = words.dtype(0).itemsize
         sequences = groups = 0
-        held, tokens = [], 0
+        held: list[tuple[int | None, np.ndarray]] = []
+        tokens = 0
 
         def flush():
             nonlocal sequences, groups
             packer = Packer()
             for i, (_, ids) in enumerate(held):
-                packer.add(i, len(ids) // width)
+                packer.add(i, len(ids))
             done = packer.finish()
             steps = step_groups([n for n, _ in done], step)
             cols: list[list] = [[] for _ in range(9)]
@@ -144,12 +143,11 @@ def _pack(vocab: str, end_id: int, block: int, step: int):
                 at = 0
                 for doc, start, n in pieces:
                     doc_id, ids = held[doc]
-                    own = np.frombuffer(ids, words.dtype, n, start * width).astype("<u4").tobytes()
-                    row = (doc_id, start, n, own, len(ids) // width, base + sequences, at, tier, base + groups + g)
+                    row = (doc_id, start, n, ids[start : start + n].astype("<u4").tobytes(), len(ids), base + sequences, at, tier, base + groups + g)
                     for c, v in zip(cols, row):
                         c.append(v)
                     at += n
-                    size += len(own)
+                size += 4 * tier
                 sequences += 1
                 if size > 4 << 20:
                     yield _rows(cols)
@@ -158,15 +156,13 @@ def _pack(vocab: str, end_id: int, block: int, step: int):
             yield _rows(cols)
 
         for b in batches:
-            ids, doc_ids = b.column(0), b.column(1).to_pylist()
-            for lo in range(0, b.num_rows, 512):
-                part = ids.slice(lo, 512).to_pylist()
-                for doc_id, own in zip(doc_ids[lo : lo + 512], words.encode(part)):
-                    held.append((doc_id, own + end))
-                    tokens += len(own) // width + 1
-                if tokens >= block:
-                    yield from flush()
-                    held, tokens = [], 0
+            ids, n = words.flat(b.column(0).to_pylist(), end_id)
+            for doc_id, own in zip(b.column(1).to_pylist(), np.split(ids, np.cumsum(n)[:-1])):
+                held.append((doc_id, own))
+                tokens += len(own)
+            if tokens >= block:
+                yield from flush()
+                held, tokens = [], 0
         yield from flush()
 
     return run
@@ -187,11 +183,13 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, blo
     packed from the longest down: a window's gap takes whole pieces of its own
     and shorter tiers, and one piece is cut to close it. The last, part-filled
     windows are cut to smaller powers of two, so no sequence needs padding.
-    ``step_group`` deals the sequences to steps of about ``step`` tokens.
+    ``step_group`` deals the sequences of a block to steps of about ``step``
+    tokens, longest first, each to the step with the fewest tokens so far.
 
     Packing happens where the texts are read, in blocks of about ``block``
-    tokens: nothing is shuffled and memory is bounded by a block and the longest
-    document. sequence_id holds the task in its upper half. ids are
+    tokens: nothing is shuffled and memory is bounded by a block, an Arrow batch
+    and the ids of the longest document (two bytes a token; its text is cut into
+    words in slices). sequence_id holds the task in its upper half. ids are
     little-endian unsigned 32-bit integers. Repeated rows are packed each.
     """
     prepare(docs.sparkSession)

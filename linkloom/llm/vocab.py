@@ -1,8 +1,8 @@
 """Public tokenizer files behind caches: the ids and counts are the libraries' own.
 
 A text made of the plain characters below is cut at white space first, so that
-each distinct chunk meets the library once; any other text, and any text that
-may hold a special token, goes to the library whole.
+each distinct chunk of many texts meets the library once; any other text, and
+any text that may hold a special token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -47,36 +49,68 @@ def load(name: str):
     return Tokenizer.from_file(vocabulary(name))
 
 
-class TwoGenerations(dict):
-    """A cache of at most twice ``limit`` entries; what was not asked for lately goes first."""
+#: Ends of chunks that are a word and punctuation, which need no pattern to part.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
-    def __init__(self, limit: int) -> None:
-        super().__init__()
-        self.limit, self.old = limit, {}
+#: Characters that are cut into chunks at a time; a longer text is cut at white space.
+SLICE = 8_000_000
 
-    def age(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
 
+def ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Runs of values, one after the other."""
+    ends = np.cumsum(lens)
+    return values[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
 
-#: Ends of chunks that are a word and punctuation, which need no pattern to part.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+
+def offsets_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset)
+
+
+def tails(chunks: pa.StringArray, cores: pa.StringArray) -> pa.StringArray:
+    """What follows the core of each chunk."""
+    n = pc.subtract(pc.binary_length(chunks), pc.binary_length(cores)).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+    own = ragged(data, offsets_of(chunks)[1:] - n, n)
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype("<i4")
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(own))
+
+
+def pieces_of(text: str) -> list[str]:
+    """A text in pieces of about SLICE characters, cut at white space."""
+    out, at = [], 0
+    while len(text) - at > SLICE:
+        cut = max(text.rfind(c, at, at + SLICE) for c in " \n")
+        if cut <= at:
+            later = [i for i in (text.find(c, at + SLICE) for c in " \n") if i >= 0]
+            if not later:
+                break
+            cut = min(later)
+        out.append(text[at:cut])
+        at = cut
+    out.append(text[at:])
+    return out
 
 
 class WordIds:
     """Whole texts to ids by a vocabulary that lower-cases and drops white space.
 
-    New words go to the library many at a time: each word's last id, and no
-    other, ends a word in this kind of vocabulary, which parts them again.
+    The chunks between white space of many texts are told apart at once; each
+    different one is a word and marks behind it, or is made of several words. New
+    words go to the library's merges many at a time, cut and lower-cased: each
+    word's last id, and no other, ends a word in this kind of vocabulary, which
+    parts them again. What words are is held until ``limit`` of them are known,
+    then learnt anew.
     """
 
-    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 250_000) -> None:
+    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 400_000) -> None:
         import json
 
         import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = load(name)
+        self.merges = Tokenizer(self.tok.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.find = regex.compile(WORD_PATTERN).findall
         size = self.tok.get_vocab_size()
         self.dtype = np.uint16 if size <= 65536 else np.uint32
@@ -84,80 +118,112 @@ class WordIds:
         self.ends = np.zeros(size, bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith(suffix)
-        self.cache = TwoGenerations(limit)
-        self.marks: dict[str, bytes] = {}
-
-    def _library(self, words: list[str]) -> dict[str, bytes]:
-        e = self.tok.encode_batch_fast([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)], add_special_tokens=False)
-        ids = np.array([i for x in e for i in x.ids], self.dtype)
-        width = ids.itemsize
-        ends = ((np.nonzero(self.ends[ids])[0] + 1) * width).tolist()
-        if len(ends) != len(words):
-            return {w: np.array(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w in words}
-        raw, begin, out = ids.tobytes(), 0, {}
-        for w, end in zip(words, ends):
-            out[w] = raw[begin:end]
-            begin = end
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts chunks into the cache: words as the library has them, others made of their parts."""
-        cache, old, marks = self.cache, self.cache.old, self.marks
-        new, marked, others, parts = [], [], [], set()
-        for c in chunks:
-            if c.isalpha():
-                new.append(c)
-                continue
-            core = c.rstrip(MARKS)
-            if core.isalpha():
-                tail = c[len(core) :]  # marks without letters are one word
-                if core not in cache:
-                    parts.add(core)
-                if tail not in marks:
-                    marks[tail] = np.array(self.tok.encode(tail, add_special_tokens=False).ids, self.dtype).tobytes()
-                marked.append((c, core, tail))
-            else:
-                ws = self.find(c)
-                others.append((c, ws))
-                parts.update(ws)
-        for w in parts.difference(cache, new):
-            if (b := old.get(w)) is None:
-                new.append(w)
-            else:
-                cache[w] = b
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: a word's number; ids of the words one after the other, where each begins and how many it has."""
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.size = np.empty(1 << 16, self.dtype), 0
+        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.count = 1
+
+    def _learn(self, words: list[str]) -> None:
+        lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        ids = np.array([i for x in self.merges.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], self.dtype)
+        lens = np.diff(np.nonzero(self.ends[ids])[0] + 1, prepend=0)
+        if len(lens) != len(words):
+            each = [self.tok.encode(w, add_special_tokens=False).ids for w in words]
+            ids, lens = np.array([i for x in each for i in x], self.dtype), np.array([len(x) for x in each], np.int64)
+        size, count = self.size + len(ids), self.count + len(words)
+        if size > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(size, self.dtype)])
+        if count > len(self.lens):
+            self.starts, self.lens = (np.concatenate([x, np.zeros(count, np.int64)]) for x in (self.starts, self.lens))
+        self.ids[self.size : size] = ids
+        self.starts[self.count : count] = self.size + np.cumsum(lens) - lens
+        self.lens[self.count : count] = lens
+        self.known.update(zip(words, range(self.count, count)))
+        self.size, self.count = size, count
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of different words."""
+        known = self.known
+        new = [w for w in words if w not in known]
         for i in range(0, len(new), 8192):
-            cache.update(self._library(new[i : i + 8192]))
-        for c, core, tail in marked:
-            cache[c] = cache[core] + marks[tail]
-        for c, ws in others:
-            cache[c] = b"".join([cache[w] for w in ws])
-        if len(marks) > 10_000:
-            marks.clear()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian integers of ``dtype``."""
-        out: list = [None] * len(texts)
-        lists: dict[int, list[str]] = {}
+            self._learn(new[i : i + 8192])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks, one after the other, and how many each has."""
+        core = pc.ascii_rtrim(chunks, characters=MARKS)
+        simple = pc.utf8_is_alpha(core)
+        core, marked = core.filter(simple), chunks.filter(simple)
+        simple = simple.to_numpy(zero_copy_only=False)
+        others = [self.find(c) for c in chunks.filter(pa.array(~simple)).to_pylist()]
+        n = np.full(len(chunks), 2)
+        n[~simple] = [len(x) for x in others]
+        at = np.cumsum(n) - n
+        words = np.empty(int(n.sum()), np.int64)
+        for i, column in enumerate((core, tails(marked, core))):
+            column = pc.dictionary_encode(column)
+            words[at[simple] + i] = self._numbers(column.dictionary.to_pylist())[column.indices.to_numpy()]
+        parts = [w for x in others for w in x]
+        different = dict.fromkeys(parts)
+        number = dict(zip(different, self._numbers(list(different)).tolist()))
+        words[np.repeat(~simple, n)] = [number[w] for w in parts]
+        lens = self.lens[words]
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        return ragged(self.ids, self.starts[words], lens), upto[at + n] - upto[at]
+
+    def _slice(self, texts: list[str], ends: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts with their ``ends`` behind each, one after the other, and how many each has."""
+        if self.count > self.limit or self.size > 8 * self.limit:
+            self._forget()
+        odd = [i for i, t in enumerate(texts) if not plain(t)]
+        whole = [np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, self.dtype) for i in odd]
+        for i in odd:
+            texts[i] = ""  # one empty chunk, whose place the whole text takes
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
+        begins = offsets_of(lists).astype(np.int64)
+        chunks = pc.dictionary_encode(lists.flatten())
+        ids, lens = self._chunks(chunks.dictionary)
+        codes = chunks.indices.to_numpy().astype(np.int64)
+        codes[begins[odd]] = len(lens) + np.arange(len(odd))
+        last = [i for i, e in enumerate(ends) if e]
+        codes = np.insert(codes, begins[1:][last], len(lens) + len(odd) + np.arange(len(last)))
+        behind = [np.array(ends[i], self.dtype) for i in last]
+        begins[1:] += np.cumsum([bool(e) for e in ends])
+        ids = np.concatenate([ids, *whole, *behind])
+        lens = np.concatenate([lens, [len(x) for x in whole], [len(x) for x in behind]]).astype(np.int64)
+        each = lens[codes]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return ragged(ids, (np.cumsum(lens) - lens)[codes], each), np.diff(upto[begins])
+
+    def flat(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, ``end`` behind each, one after the other, and how many each has."""
+        last = [] if end is None else [end]
+        out, counts = [], np.zeros(len(texts), np.int64)
+        held: list[tuple[int, str, list[int]]] = []
+        size = 0
+
+        def take():
+            nonlocal held, size
+            if held:
+                ids, n = self._slice([t for _, t, _ in held], [e for _, _, e in held])
+                out.append(ids)
+                np.add.at(counts, [i for i, _, _ in held], n)
+            held, size = [], 0
+
         for i, t in enumerate(texts):
-            if plain(t):
-                lists[i] = t.lower().split()
-            else:
-                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
-        cache, old = self.cache, self.cache.old
-        missing = set().union(*lists.values()).difference(cache) if lists else set()
-        known = missing.intersection(old) if old else ()
-        for c in known:
-            cache[c] = old[c]
-        missing.difference_update(known)
-        if missing:
-            self._learn(list(missing))
-        get = cache.__getitem__
-        for i, chunks in lists.items():
-            out[i] = b"".join(map(get, chunks))
-        for c in [c for c in missing if len(c) > 48]:
-            cache.pop(c, None)
-        cache.age()
-        return out
+            pieces = pieces_of(t) if len(t) > SLICE and plain(t) else [t]
+            for k, p in enumerate(pieces, 1):
+                if size and size + len(p) > SLICE:
+                    take()
+                held.append((i, p, last if k == len(pieces) else []))
+                size += len(p)
+        take()
+        return (np.concatenate(out) if out else np.empty(0, self.dtype)), counts
 
 
 @lru_cache(maxsize=2)

@@ -99,8 +99,27 @@ def test_ids_match_the_library():
     texts = [f"a{c}b1{c}{c}'s {c} 'S{c}'re {c}" for c in plain] + [t or "" for _, t in ODD]
     for i in range(0, len(texts), 2000):
         part = texts[i : i + 2000]
-        for t, got, want in zip(part, words.encode(part), words.tok.encode_batch(part, add_special_tokens=False)):
-            assert np.frombuffer(got, words.dtype).tolist() == want.ids, t
+        ids, n = words.flat(part, 7)
+        for t, got, want in zip(part, np.split(ids, np.cumsum(n)[:-1]), words.tok.encode_batch(part, add_special_tokens=False)):
+            assert got.tolist() == [*want.ids, 7], t
+
+
+def test_ids_of_slices_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(vocab, "SLICE", 100)
+    words = vocab.WordIds()
+    texts = [LONG[:5000], "", "x" * 500, "ab " * 3 + "y" * 300 + "\nend. " * 40, "Ωμ " * 90, "z"]
+    ids, n = words.flat(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in words.tok.encode_batch(texts, add_special_tokens=False)]
+    assert words.flat([])[0].tolist() == []
+
+
+def test_token_files_do_not_depend_on_partitions(spark):
+    rows = [(5, f"text number {i % 7}") for i in range(40)] + [(None, f"another {i}") for i in range(20)] + [(2, "one"), (9, "two words")]
+    want = None
+    for parts in (1, 3, 7):
+        got = sorted(map(repr, token_files.round_trip(frame(spark, rows).repartition(parts)).collect()))
+        assert want in (None, got)
+        want = got
 
 
 def test_pre_tokens_match_the_library():
