@@ -85,8 +85,8 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, segment:
     if len(ids) and not lengths[ids].all():
         raise ValueError("an id has no code")
     left = codes.astype(np.uint64) << ((np.uint64(64) - bits) & np.uint64(63))
-    ends = np.cumsum(bits[ids], dtype=np.uint64)
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.uint64)[::segment] if len(ids) else np.empty(0, np.uint64)
+    ends = np.cumsum(lengths[ids], dtype=np.uint64)
+    begins = np.concatenate([np.zeros(1, np.uint64), ends[segment - 1 : -1 : segment]]) if len(ids) else np.empty(0, np.uint64)
     words = np.zeros((int(ends[-1]) >> 5) + 2 if len(ids) else 0, np.uint32)
     step = 1 << 16  # small enough to stay in a core's cache
     for i in range(0, len(ids), step):

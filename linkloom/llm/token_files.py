@@ -54,6 +54,7 @@ def _tokenise(vocab: str, end_id: int, size: int):
                 part = slice(lo, lo + 1024)
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(n[part]), pa.array(crc[part], pa.int64()), own[part].cast(pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
+        trim()
 
     return run
 
@@ -96,6 +97,7 @@ def _write(folder: str, lengths: np.ndarray, kind: str):
                 out.write(content)
             files.move(own, name)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([sum(map(len, ids))], pa.int64()), pa.array([len(content)], pa.int64())], names=["part", "n", "n_bytes"])
+        trim()
 
     return run
 
@@ -117,6 +119,7 @@ def _read(checksums: bool):
                         [pa.array([part] * n, pa.int64()), pa.array(doc_ids[lo : lo + n]), pa.array(begins[lo : lo + n]), pa.array(counts[lo : lo + n].astype(np.int64)), own],
                         names=["part", "doc_id", "start", "n_tokens", "ids_crc32" if checksums else "ids"],
                     )
+        trim()
 
     return run
 

@@ -53,7 +53,7 @@ def load(name: str):
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 #: Characters that are cut into chunks at a time; a longer text is cut at white space.
-SLICE = 8_000_000
+SLICE = 3_000_000
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ class WordIds:
     then learnt anew.
     """
 
-    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 400_000) -> None:
+    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 300_000) -> None:
         import json
 
         import regex
