@@ -2,8 +2,9 @@
 
 Defined for every operator here: a null text counts as empty, a null ``doc_id``
 is an ordinary value that sorts before all others, columns other than the ones
-an operator names are ignored, and an input without rows gives an output
-without rows.
+an operator names are ignored whatever their names are, and an input without
+rows gives an output without rows. Texts are worked on whole: a task holds the
+longest text it meets, and what an operator derives from it.
 """
 
 from __future__ import annotations
@@ -77,10 +78,21 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = tempfile.mkdtemp(prefix="linkloom-shared-")
             spark.sparkContext.setCheckpointDir(base)
             spark.conf.set("spark.checkpoint.dir", base)
         self.path = f"{base.rstrip('/')}/linkloom-{name}-{uuid.uuid4().hex[:12]}"
+        # results are read from here until the application ends; then the folder goes
+        files, path = self._files("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, label: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}" if label else self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
         at = f"{self.path}/{label}"
@@ -90,10 +102,11 @@ class Scratch:
         writer.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, label: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *labels: str) -> None:
+        """Tables that nothing reads any more."""
+        for label in labels:
+            files, path = self._files(label)
+            files.delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -123,13 +136,13 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, upper, upper.lower())
 
 
-def row_key() -> Column:
-    """A hash of what a row's verdict may depend on beside its doc_id."""
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-def same_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id and row_key are among ``verdicts``, with all their columns."""
-    own = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), row_key().alias("_hash"))
-    keys = verdicts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("row_hash").alias("_hash"))
-    return own.join(keys, ["_id", "_hash"], "left_semi").select(*docs.columns)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import NO_ID, Scratch, lower_ascii, partitions, prepare
+from linkloom.llm.common import NO_ID, Scratch, fresh, lower_ascii, partitions, prepare
 
 SLOTS = 4
 
@@ -203,7 +203,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     low = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = exact_groups(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_digest"))
-    own = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.sha2(low.cast("binary"), 256).alias("_digest"))
-    same = Window.partitionBy("_id", "_digest").orderBy(F.lit(0))
-    return own.join(kept, ["_id", "_digest"], "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    i, digest, n = fresh(docs, "id", "digest", "n")
+    kept = exact_groups(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(i), F.col("text_sha256").alias(digest))
+    own = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(i), F.sha2(low.cast("binary"), 256).alias(digest))
+    same = Window.partitionBy(i, digest).orderBy(F.lit(0))
+    return own.join(kept, [i, digest], "left_semi").withColumn(n, F.row_number().over(same)).where(F.col(n) == 1).select(*docs.columns)

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import NO_ID, Scratch, prepare
+from linkloom.llm.common import Scratch, fresh, prepare
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -60,6 +60,14 @@ def targets_of(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return own.select(dimension, (F.col("own") / F.lit(total or 1.0)).alias("target"))
 
 
+def given(spark: SparkSession, dimension: str, weights: dict[str, float]) -> DataFrame:
+    """Targets as a caller gives them, made to sum to 1."""
+    total = sum(weights.values())
+    if total <= 0 or min(weights.values()) < 0:
+        raise ValueError(f"weights of {dimension} must be at least 0 and not all 0")
+    return spark.createDataFrame([(k, w / total) for k, w in weights.items()], f"{dimension} string, target double")
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int, tolerance: float = 1e-7) -> DataFrame:
     """cells with ``w``: shares of tokens whose marginals are the targets, as near as the cells allow.
 
@@ -111,38 +119,67 @@ def draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, DRAW_DIGITS), 16, 10).cast("double") / float(16**DRAW_DIGITS)
 
 
+def value_of(docs: DataFrame, c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) if c in docs.columns else F.lit(MISSING)
+
+
 def marked(docs: DataFrame, topic_of: Callable[[], Column] = topic) -> DataFrame:
-    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) if c in docs.columns else F.lit(MISSING)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), value("source").alias("source"), value("lang").alias("lang"), topic_of().alias("topic"), count_words().alias("tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), value_of(docs, "source").alias("source"), value_of(docs, "lang").alias("lang"), topic_of().alias("topic"), count_words().alias("tokens"))
 
 
-def mixture(docs: DataFrame, powers: tuple[float, float, float] = (0.5, 0.7, 0.8), keep: float = 0.5, rounds: int = 30, seed: str = "mix", topic_of: Callable[[], Column] = topic) -> DataFrame:
+def fitted(rows: DataFrame, scratch: Scratch, powers: tuple[float, float, float], keep: float, rounds: int, targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    """source, lang, topic and p of each cell of the marked ``rows``."""
+    cells = scratch.save(cells_of(rows), "cells")
+    asked = {d: given(cells.sparkSession, d, targets[d]) if targets and d in targets else targets_of(cells, d, a) for d, a in zip(DIMENSIONS, powers)}
+    asked = {d: scratch.save(t, f"target-{d}") for d, t in asked.items()}
+    return scratch.save(probabilities(rake(cells, asked, scratch, rounds), scratch, keep).select(*DIMENSIONS, "p"), "p")
+
+
+def mixture_rates(docs: DataFrame, powers: tuple[float, float, float] = (0.5, 0.7, 0.8), keep: float = 0.5, rounds: int = 30, topic_of: Callable[[], Column] = topic, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """source, lang, topic and p of each cell of ``docs``: the probability with which a row of it with words is kept."""
+    prepare(docs.sparkSession)
+    return fitted(marked(docs, topic_of), Scratch(docs.sparkSession, "mixing"), powers, keep, rounds, targets)
+
+
+def mixture(
+    docs: DataFrame,
+    powers: tuple[float, float, float] = (0.5, 0.7, 0.8),
+    keep: float = 0.5,
+    rounds: int = 30,
+    seed: str = "mix",
+    topic_of: Callable[[], Column] = topic,
+    targets: dict[str, dict[str, float]] | None = None,
+) -> DataFrame:
     """doc_id, source, lang, topic, tokens, p and kept for each row of ``docs``.
 
-    Tokens are words. Targets of each marginal are the shares of source, lang
-    and topic to ``powers``. p is the row's probability: equal within a cell,
-    such that the expected tokens of the cells are in the raked proportions
-    (where they do not exceed what a cell has) and sum to ``keep`` of all. kept:
-    the row's draw lies below p. Rows without words have p 0 and are not kept;
-    rows that share a doc_id share a draw. Null source and lang are values.
+    Tokens are words. Targets of each marginal are the weights that ``targets``
+    gives for its values (made to sum to 1; a value without a weight gets none),
+    or else the shares of source, lang and topic to ``powers``. p is the row's
+    probability: equal within a cell, such that the expected tokens of the cells
+    are in the raked proportions (where they do not exceed what a cell has) and
+    sum to ``keep`` of all. kept: the row's draw lies below p. Rows without words
+    have p 0 and are not kept; rows that share a doc_id share a draw. Null source
+    and lang are a value, "(none)". topic is a form of text unless ``topic_of``
+    gives another expression.
     """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "mixing")
     rows = scratch.save(marked(docs, topic_of), "rows")
-    cells = scratch.save(cells_of(rows), "cells")
-    targets = {d: scratch.save(targets_of(cells, d, a), f"target-{d}") for d, a in zip(DIMENSIONS, powers)}
-    p = scratch.save(probabilities(rake(cells, targets, scratch, rounds), scratch, keep).select(*DIMENSIONS, "p"), "p")
+    p = fitted(rows, scratch, powers, keep, rounds, targets)
     out = rows.join(p, list(DIMENSIONS), "left")
     chance = F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0)
     return out.select("doc_id", *DIMENSIONS, "tokens", chance.alias("p")).withColumn("kept", draw(seed) < F.col("p"))
 
 
 def sample(docs: DataFrame, keep: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the mixture keeps, with all their columns."""
-    kept = mixture(docs, keep=keep).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "source", "lang", "topic").distinct()
-    names = list(DIMENSIONS)
-    kept = kept.select("_id", *[F.col(d).alias(f"_{d}") for d in names])
-    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) if c in docs.columns else F.lit(MISSING)
-    own = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), value("source").alias("_source"), value("lang").alias("_lang"), topic().alias("_topic"), (count_words() > 0).alias("_some"))
-    return own.where("_some").join(kept, ["_id", *[f"_{d}" for d in names]], "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that the mixture keeps, with all their columns.
+
+    A row's cell and draw say whether it is kept, so no text moves: the cells
+    with their probabilities meet the rows.
+    """
+    names = fresh(docs, *DIMENSIONS, "words", "chance")
+    cell = dict(zip(DIMENSIONS, names))
+    p = mixture_rates(docs, keep=keep).select(*[F.col(d).alias(n) for d, n in cell.items()], F.col("p").alias(names[-1]))
+    own = docs.select("*", value_of(docs, "source").alias(cell["source"]), value_of(docs, "lang").alias(cell["lang"]), topic().alias(cell["topic"]), (count_words() > 0).alias(names[-2]))
+    return own.join(p, names[:3]).where(F.col(names[-2]) & (draw("mix") < F.col(names[-1]))).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import BLOCK_BYTES, BYTE_VALUES, Block, binary, groups_of, mix, read_block, rows_of, write_blocks
-from linkloom.llm.common import NO_ID, Scratch, partitions, prepare, release
+from linkloom.llm.common import NO_ID, Scratch, fresh, partitions, prepare, release
 from linkloom.llm.components import Forest, components
 
 #: Cells of the token histogram by which two sets' overlap is bounded from above.
@@ -672,7 +672,11 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
-    found = near_duplicates(docs, size, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return own.join(found, "_id", "left_semi").select(*docs.columns)
+    """One document of each component, with all its columns: the rows whose doc_id is the smallest there.
+
+    All rows of that doc_id stay. Rows without a doc_id have one component.
+    """
+    (name,) = fresh(docs, "id")
+    found = near_duplicates(docs, size, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(name)).distinct()
+    own = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return own.join(found, name, "left_semi").select(*docs.columns)

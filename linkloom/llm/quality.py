@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Scratch, lower_ascii, prepare, row_key, same_rows, trim
-from linkloom.llm.vocab import vocabulary
+from linkloom.llm.common import Scratch, lower_ascii, prepare, trim
+from linkloom.llm.vocab import piece_ids, word_ids
 
 #: First and last code points of blocks that tell scripts apart.
 SCRIPTS = {
@@ -31,7 +31,11 @@ SCRIPTS = {
 
 SYMBOLS = "#*$%&|<>"
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string"
+#: Measures of the first vocabulary, then of the second.
+MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+SECOND = tuple(f"word_{m}" for m in MEASURES)
+
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, " + "".join(f"{m} double, " for m in MEASURES + SECOND) + "script string"
 
 
 def word_stats(text: str) -> tuple[int, int, int, int, int]:
@@ -65,14 +69,6 @@ def script_of(text: str) -> str:
     return best if counts[best] else "none"
 
 
-@lru_cache(maxsize=2)
-def _pieces(model: str):
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(model))
-    return sp, np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
-
-
 #: Tokens of a block over which entropy is taken, so that it does not follow a text's length.
 BLOCK = 128
 
@@ -94,30 +90,30 @@ def block_entropy(ids: np.ndarray) -> float:
     return 1.0 - lost / math.log2(size)
 
 
-def _fertility(ids: list[int], chars: int, fallback: np.ndarray) -> tuple[int, float | None, float | None, float | None]:
-    """Tokens, characters per token, share of byte tokens, and block entropy."""
+def fertility(ids: np.ndarray, chars: int, fallback: np.ndarray) -> tuple[float | None, float | None, float | None]:
+    """Characters per token, share of byte tokens, and block entropy."""
     n = len(ids)
     if not n:
-        return 0, None, None, None
-    a = np.array(ids, np.int32)
-    return n, chars / n, int(fallback[a].sum()) / n, block_entropy(a)
+        return None, None, None
+    return chars / n, int(fallback[ids].sum()) / n, block_entropy(ids)
 
 
-def _measure(model: str):
+def _measure(pieces: str, words: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, fallback = _pieces(model)
+        trim()
+        vocabularies = piece_ids(pieces), word_ids(words)
+        names = [x.split()[0] for x in STATS.split(", ")]
+        kinds = [pa.int64()] * 6 + [pa.float64()] * 6 + [pa.string()]
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                texts = part.column(0).to_pylist()
-                rows = []
-                for t, ids in zip(texts, sp.encode(texts, num_threads=1)):
-                    base = word_stats(t)
-                    rows.append((*base, *_fertility(ids, base[1], fallback), script_of(t)))
-                names = [x.split()[0] for x in STATS.split(", ")]
-                kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
-                cols = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *cols], names=["row", "lang", *names])
+            texts = b.column(0).to_pylist()
+            base = [word_stats(t) for t in texts]
+            each = []
+            for v in vocabularies:
+                ids, n = v.flat(texts)
+                each.append([(len(own), *fertility(own, x[1], v.bytes)) for own, x in zip(np.split(ids, np.cumsum(n)[:-1]), base)])
+            rows = [(*x, *first, *second[1:], script_of(t)) for x, first, second, t in zip(base, *each, texts)]
+            cols = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *cols], names=["own", "lang", *names])
         trim()
 
     return run
@@ -125,11 +121,11 @@ def _measure(model: str):
 
 #: What a band holds: the lower and upper distance from the quartiles, in
 #: interquartile ranges, and the least such range. None: no bound on that side.
-FENCES = {"chars_per_token": (3.0, 3.0, 0.12), "byte_share": (None, 3.0, 0.008), "token_entropy": (3.0, None, 0.015)}
+FENCES = dict(zip(MEASURES + SECOND, ((3.0, 3.0, 0.12), (None, 3.0, 0.008), (3.0, None, 0.015), (4.0, 4.0, 0.12), (None, 4.0, 0.008), (4.0, None, 0.015))))
 
 
 #: Least and greatest of each measure that prose of a script may have,
-#: whatever the corpus holds. The vocabulary has words of Latin and Cyrillic, and
+#: whatever the corpus holds, by the first vocabulary. It has words of Latin and Cyrillic, and
 #: of the others letters only: a token is a letter there and entropy is lower.
 #: Entropy of Latin lies below the least of labelled good documents of sf0.1
 #: (0.768); the rest is set wide around a paragraph of prose in 15 languages.
@@ -181,34 +177,45 @@ def possible(m: str) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def quality(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, word statistics, base_failed, kept, the measures, row.
-
-    base_failed: under 50 words, or over half of them in repeated 3-word
-    windows. Others are kept if characters per token, byte-fallback share and
-    token entropy (in blocks of 128 tokens) lie within the fixed
-    limits of their script, and within the bands of their language, or of their
-    script where lang is null. Bands come from the quartiles of the different
-    texts themselves: those that a vocabulary splits far worse or better than it
-    splits most texts of that language go. Languages of few texts have no band.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark, "quality")
+def _judged(docs: DataFrame, own: Column, pieces: str, words: str, scratch: Scratch) -> DataFrame:
+    """``own`` (a struct of a row's columns) beside the row's measures, base_failed, band and kept; texts are read once."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang")).select("*", F.monotonically_increasing_id().alias("row"), row_key().alias("row_hash"), F.xxhash64(lower_ascii(F.col("text"))).alias("copy"))
-    kind = "row struct<row:long,doc_id:long,row_hash:long,copy:long>"
-    measured = rows.select("text", F.struct("row", "doc_id", "row_hash", "copy").alias("row"), "lang").mapInArrow(_measure(model), f"{kind}, lang string, {STATS}")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(text.alias("text"), F.struct(own.alias("own"), F.xxhash64(lower_ascii(text)).alias("copy")).alias("own"), lang.alias("lang"))
+    measured = rows.mapInArrow(_measure(pieces, words), f"own {rows.schema['own'].dataType.simpleString()}, lang string, {STATS}")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     band = F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
-    saved = scratch.save(measured.select(F.col("row.row").alias("row"), F.col("row.doc_id").alias("doc_id"), F.col("row.row_hash").alias("row_hash"), F.col("row.copy").alias("copy"), *[x.split()[0] for x in STATS.split(", ")], failed.alias("base_failed"), band.alias("band")), "stats")
+    saved = scratch.save(measured.select(F.col("own.own").alias("own"), F.col("own.copy").alias("copy"), *[x.split()[0] for x in STATS.split(", ")], failed.alias("base_failed"), band.alias("band")), "stats")
     kept = ~F.col("base_failed")
     for m in FENCES:
         kept = kept & within(m) & possible(m)
     limits = scratch.save(bands(saved), "bands")  # a table of its own: a join to an aggregate could not split a large language
-    return saved.join(limits, "band", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "chars_per_token", "byte_share", "token_entropy", "band", "row", "row_hash")
+    return saved.join(limits, "band", "left").withColumn("kept", kept)
 
 
-def keep_good(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    return same_rows(docs, quality(docs, model).where("kept"))
+def quality(docs: DataFrame, pieces: str = "piece_bpe_32k.model", words: str = "word_bpe_49k.json") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, word statistics, base_failed, kept, the measures, band.
+
+    base_failed: under 50 words, or over half of them in repeated 3-word
+    windows. Others are kept if characters per token, byte share and token
+    entropy (in blocks of 128 tokens) lie within the fixed limits of their
+    script, and, by each of two vocabularies, within the bands of their language,
+    or of their script where lang is null. Bands come from the quartiles of the
+    different texts themselves: those that a vocabulary splits far worse or
+    better than it splits most texts of that language go. Languages of few texts
+    have no band. A row is judged by its own text and lang, whatever rows share
+    its doc_id. A task holds a batch of texts, or one long text, with its words
+    and ids.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    judged = _judged(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id")), pieces, words, Scratch(spark, "quality"))
+    return judged.select("own.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *FENCES, "band")
+
+
+def keep_good(docs: DataFrame, pieces: str = "piece_bpe_32k.model", words: str = "word_bpe_49k.json") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns: each row is judged where it is read."""
+    spark = docs.sparkSession
+    prepare(spark)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, own, pieces, words, Scratch(spark, "quality")).where("kept").select(*[F.col("own").getField(c).alias(c) for c in docs.columns])

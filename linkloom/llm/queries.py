@@ -13,7 +13,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(read_documents(spark, sf_dir), model="piece_bpe_32k.model").drop("row", "row_hash")
+    return quality.quality(read_documents(spark, sf_dir), pieces="piece_bpe_32k.model", words="word_bpe_49k.json")
 
 
 def op3_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
