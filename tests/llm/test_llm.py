@@ -9,7 +9,8 @@ from linkloom.llm import exact_dedup, huffman, mixing, ngram_join, packing, pers
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, block long, keep_id long, score double"
+CLASHING = ("_id", "_hash", "_digest", "_n", "_source", "_lang", "_topic", "_some", "id", "hash", "digest", "n", "words", "chance", "own", "topic", "grp", "part")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, block long, keep_id long, score double, " + ", ".join(f"{c} string" for c in CLASHING)
 
 LONG = " ".join(f"word{i} and more of it" for i in range(4000))
 PASSAGE = "a passage of more than one hundred bytes that stands in several documents, with an end of its own here"
@@ -38,7 +39,7 @@ ODD = [
 
 def frame(spark, rows):
     """With nulls in all other columns, and columns of clashing names."""
-    return spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 0.5) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 0.5, *CLASHING) for i, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -221,16 +222,91 @@ def test_toxicity(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-12 for r in got)
 
 
+def test_toxicity_learns_from_all_different_texts(spark):
+    texts = [f"common words that all of them have {i % 50}" for i in range(100)] + ["Some   Text", "some text", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    got = toxicity.training_rows(toxicity.texts(rows), chosen).collect()
+    different = {(" ".join((t or "").lower().split()), i % 2) for i, t in enumerate(texts)}
+    assert len(got) == len(different) == 54
+
+
+def plain_label_model(fire, active, weight, start, prior, rounds, tied):
+    """The label model by loops over documents and voters."""
+    docs, voters = fire.shape
+    fires, dependence = [[min(max(x, 1e-4), 1 - 1e-4) for x in c] for c in start], [[0.0] * voters for _ in range(voters)]
+    asked = prior
+
+    def posterior(d):
+        odds = np.log(prior / (1 - prior))
+        for v in range(voters):
+            if active[d][v]:
+                share = 1 / (1 + sum(max(0.0, dependence[u][v]) for u in range(voters) if active[d][u]))
+                p1, p0 = fires[1][v], fires[0][v]
+                odds += share * (np.log(p1 / p0) if fire[d][v] else np.log((1 - p1) / (1 - p0)))
+        return 1 / (1 + np.exp(-min(40, max(-40, odds))))
+
+    for _ in range(rounds):
+        p = [posterior(d) for d in range(docs)]
+        own, new = [], [[0.0] * voters for _ in range(voters)]
+        for c in (0, 1):
+            w = [weight[d] * (p[d] if c else 1 - p[d]) for d in range(docs)]
+            mean = [(sum(w[d] * fire[d][v] for d in range(docs) if active[d][v]) + tied * start[c][v]) / (sum(w[d] for d in range(docs) if active[d][v]) + tied) for v in range(voters)]
+            own.append([min(max(x, 1e-4), 1 - 1e-4) for x in mean])
+            for u in range(voters):
+                for v in range(voters):
+                    both = [d for d in range(docs) if active[d][u] and active[d][v]]
+                    cov = sum(w[d] * (fire[d][u] - mean[u]) * (fire[d][v] - mean[v]) for d in both) / (sum(w[d] for d in both) + tied)
+                    dev = np.sqrt(max(mean[u] * (1 - mean[u]), 1e-6)) * np.sqrt(max(mean[v] * (1 - mean[v]), 1e-6))
+                    new[u][v] += (prior if c else 1 - prior) * cov / dev if u != v else 0.0
+        prior = min(0.5, max(0.005, (sum(weight[d] * p[d] for d in range(docs)) + tied * asked) / (sum(weight) + tied)))
+        fires, dependence = own, new
+    return prior, fires, [posterior(d) for d in range(docs)]
+
+
+def test_label_model_equals_the_plain_one():
+    rng = np.random.default_rng(3)
+    y = rng.random(60) < 0.3
+    fire = (rng.random((60, 4)) < np.where(y[:, None], 0.7, 0.1)).astype(float)
+    fire[:, 3] = fire[:, 2]
+    active = (rng.random((60, 4)) < 0.8).astype(float)
+    fire *= active
+    weight, start = rng.integers(1, 5, 60), np.array([[0.1] * 4, [0.5] * 4])
+    model = toxicity.fit_label_model(fire, active, weight, start, 0.2, rounds=5, tied=10.0)
+    prior, fires, posterior = plain_label_model(fire, active, weight, start, 0.2, 5, 10.0)
+    assert abs(model.prior - prior) < 1e-9 and np.abs(model.fires - fires).max() < 1e-9
+    assert np.abs(model.posterior(fire, active) - posterior).max() < 1e-9
+
+
 def test_label_model_tells_classes_apart():
     rng = np.random.default_rng(1)
+    n = toxicity.VOTERS
     y = rng.random(5000) < 0.2
-    p = np.where(y[:, None], 0.7, 0.05)
-    votes = rng.random((5000, toxicity.VOTERS)) < p
-    packed = (votes << np.arange(toxicity.VOTERS)).sum(axis=1)
+    fire = (rng.random((5000, n)) < np.where(y[:, None], 0.7, 0.05)).astype(np.int64)
+    abstain = (rng.random((5000, n)) < 0.3).astype(np.int64)
+    packed = ((fire | abstain << 32) << np.arange(n)).sum(axis=1)
     pattern, counts = np.unique(packed, return_counts=True)
-    m = toxicity.fit_label_model(pattern, counts, np.array([np.full(toxicity.VOTERS, 0.1), np.full(toxicity.VOTERS, 0.5)]), 0.3)
+    m = toxicity.fit_label_model(*toxicity.unpack(pattern), counts, np.array([np.full(n, 0.1), np.full(n, 0.5)]), 0.3)
     assert abs(m.prior - 0.2) < 0.03 and np.abs(m.fires[1] - 0.7).max() < 0.1
-    assert ((m.posterior(votes.astype(float)) > 0.5) == y).mean() > 0.98
+    assert ((m.posterior(*toxicity.unpack(packed)) > 0.5) == y).mean() > 0.98
+
+
+def test_voters():
+    ids = {"idiot|": 0, "scum": 1, "garbagelike": 2}
+    families = toxicity.families_of(ids)
+
+    def fires(text):
+        words = text.lower().split()
+        found, holders = toxicity.Lexicon(ids).hits(words, set(words))
+        fire, active = toxicity.unpack(np.array([x | y << 32 for x, y in [toxicity.vote(text, words, set(words), found, holders, families)]]))
+        names = np.array(toxicity.VOTER_NAMES)
+        return set(names[(fire[0] > 0) & (active[0] > 0)]), set(names[active[0] == 0])
+
+    got, away = fires("you are an idiot and all of them are scum")
+    assert {"list:en", "short stems", "addressed", "different hits", "frequent hits"} <= got and "list:de" in away
+    assert "masked" in fires("what a f**k of it")[0] and "exclaimed" in fires("no!! and no")[0]
+    assert "shouting" in fires("THIS TEXT SHOUTS AT ALL who read it here now")[0]
+    assert "clean" in fires("plain words " * 20)[0] and "clean" in fires("few words")[1]
 
 
 def test_mixing_meets_its_targets(spark, documents):
@@ -244,6 +320,46 @@ def test_mixing_meets_its_targets(spark, documents):
 
     draws = {i: int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 16**13 for i in flat.doc_id}
     assert all((draws[r.doc_id] < r.p) == r.kept for r in flat.itertuples())
+    assert {r.doc_id for r in mixing.sample(documents, keep=0.3).collect()} == {r.doc_id for r in mixing.mixture(documents, keep=0.3).where("kept").collect()}
+
+
+def test_raking_equals_the_plain_one(spark, documents):
+    """All of the method by loops: cells, targets, raking, the rate, against the operator's p."""
+    rounds, keep = 4, 0.3
+    targets = {"lang": {"en": 3.0, "de": 1.0, "xx": 2.0}}
+    out = mixing.mixture(documents, powers=(0.5, 0.7, 0.8), keep=keep, rounds=rounds, targets=targets).collect()
+    cells: dict = {}
+    for r in out:
+        key = (r.source, r.lang, r.topic)
+        cells[key] = cells.get(key, 0) + r.tokens
+    cells = {k: n for k, n in cells.items() if n}
+    total = sum(cells.values())
+    want = []
+    for d, power in enumerate((0.5, None, 0.8)):
+        if power is None:
+            want.append({k: w / 6 for k, w in targets["lang"].items()})
+            continue
+        own: dict = {}
+        for k, n in cells.items():
+            own[k[d]] = own.get(k[d], 0) + n
+        lifted = {k: n**power for k, n in own.items()}
+        want.append({k: x / sum(lifted.values()) for k, x in lifted.items()})
+    w = {k: n / total for k, n in cells.items()}
+    for _ in range(rounds):
+        for d in range(3):
+            margin: dict = {}
+            for k, x in w.items():
+                margin[k[d]] = margin.get(k[d], 0) + x
+            w = {k: x * want[d].get(k[d], 0) / margin[k[d]] if margin[k[d]] > 0 else 0.0 for k, x in w.items()}
+    low, high = 0.0, max(n / w[k] for k, n in cells.items() if w[k] > 0)
+    for _ in range(200):
+        f = (low + high) / 2
+        got = sum(min(1.0, f * w[k] / n) * n for k, n in cells.items())
+        low, high = (low, f) if got >= keep * total else (f, high)
+    for r in out:
+        k = (r.source, r.lang, r.topic)
+        p = min(1.0, high * w[k] / cells[k]) if r.tokens and k in cells else 0.0
+        assert abs(r.p - p) < 1e-6, k
 
 
 @pytest.mark.parametrize("more", [{}, {"hot_blocks": 1, "block_bytes": 3000}, {"block_bytes": 20000}])
