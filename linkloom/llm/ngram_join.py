@@ -5,6 +5,11 @@ k smallest common tokens within their first n - c + k tokens each. Rare tokens
 come first in the order and are indexed one by one (k = 1). Frequent tokens are
 indexed two by two (k = 2), from prefixes one token longer: where the smallest
 common token is frequent, so is the second.
+
+Pairs grow with the square of a prefix, so long sets are parted by a hash of
+their tokens into as many parts as their size asks for: of two sets with a
+similarity of t, one pair of parts has a similarity of t or more, since the
+whole's ratio lies between those of its parts. Prefixes are taken of each part.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import BLOCK_BYTES, BYTE_VALUES, Block, binary, groups_of, mix, read_block, rows_of, write_blocks
@@ -105,6 +110,7 @@ class Sets:
     tokens: np.ndarray
     ends: np.ndarray
     same: np.ndarray
+    digests: tuple[np.ndarray, np.ndarray]
 
     @property
     def sizes(self) -> np.ndarray:
@@ -131,10 +137,10 @@ def block_sets(block: Block, size: int) -> Sets:
     same = np.empty(len(n), np.int64)
     same[order] = order[np.nonzero(new)[0]][np.cumsum(new) - 1] if len(n) else []
     same[n == 0] = np.nonzero(n == 0)[0]  # empty sets equal nothing
-    return Sets(tokens, ends, same)
+    return Sets(tokens, ends, same, (a, b))
 
 
-PROFILE = "block long, doc_ids binary, sizes binary, same binary"
+PROFILE = "block long, doc_ids binary, sizes binary, same binary, first binary, second binary"
 
 
 def _profile(size: int):
@@ -144,8 +150,8 @@ def _profile(size: int):
         for row in rows_of(batches):
             block = read_block(row)
             s = block_sets(block, size)
-            values = [block.number, row["doc_ids"], binary(s.sizes, "<u4"), binary(s.same, "<u2")]
-            kinds = [pa.int64()] + [pa.binary()] * 3
+            values = [block.number, row["doc_ids"], binary(s.sizes, "<u4"), binary(s.same, "<u2"), *[binary(x, "<u8") for x in s.digests]]
+            kinds = [pa.int64()] + [pa.binary()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in PROFILE.split(", ")])
 
     return run
@@ -228,34 +234,65 @@ def _frequent(least: int):
     return run
 
 
-KEYS = "bucket int, block long, n int, body binary"
+KEYS = "unit long, block long, n int, body binary"
+
+#: A key's unit is its bucket and a size class of its holders.
+CLASSES = 64
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, need: int, pairs_upto: int, at_least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of one set: its rare prefix tokens, and its frequent ones one by one or two by two.
+def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set: its rare prefix tokens, and its frequent ones two by two.
 
-    tokens in ascending order, ``need`` the least overlap c. Pairs serve sets of
-    up to ``pairs_upto`` tokens; longer sets index frequent tokens one by one.
-    Around that size, where partners may be on either side, a set has both.
+    tokens in ascending order, ``need`` the least overlap c. Where an overlap of
+    one token may do, frequent tokens are keys by themselves, too.
     """
     n = len(tokens)
     prefix = n - need + 1
     rare = tokens[~frequent]
-    one = rare[:prefix]
     often = tokens[frequent]
-    num, den = at_least
-    singles = need < 2 or n * den > pairs_upto * num
-    if len(rare) < prefix and singles:
+    one = rare[:prefix]
+    if need < 2 and len(rare) < prefix:
         one = np.concatenate([one, often[: prefix - len(rare)]])
     two = np.empty(0, np.uint64)
-    if len(rare) <= prefix and n > 1 and n * num <= pairs_upto * den:
+    if len(rare) <= prefix and n > 1:
         o = often[: prefix + 1 - len(rare)]
         i, j = np.triu_indices(len(o), 1)
         two = mix(mix(o[i] * C1) + o[j] * C2)
     return one, two
 
 
-def _keys(size: int, num: int, den: int, pairs_upto: int, bits: int):
+def parts_for(n: int, most: int) -> int:
+    """Parts of a set of n tokens, a power of two, such that about ``most`` are in each."""
+    return 1 << max(0, -(-n // most) - 1).bit_length()
+
+
+def set_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int, most: int) -> list[np.ndarray]:
+    """Keys of a set's parts, for each number of parts that a partner's size may ask for."""
+    n = len(tokens)
+    out = []
+    m = parts_for(-(-n * num // den), most)
+    while m <= parts_for(n * den // num, most):
+        if m == 1:
+            parts = [(tokens, frequent)]
+        else:
+            where = (mix(tokens * C3 + C1) & np.uint64(m - 1)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[order], np.arange(1, m))
+            parts = list(zip(np.split(tokens[order], cuts), np.split(frequent[order], cuts)))
+        salt = np.full(1, m, np.uint64) * C2
+        for own, often in parts:
+            if len(own):
+                out += [k + salt for k in prefix_keys(own, often, -(-len(own) * num // den)) if len(k)]
+        m *= 2
+    return out
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes from one power of two to the next."""
+    return np.frexp(n.astype(np.float64))[1] - 1
+
+
+def _keys(size: int, num: int, den: int, most: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = read_block(row)
@@ -266,30 +303,35 @@ def _keys(size: int, num: int, den: int, pairs_upto: int, bits: int):
             owner = np.repeat(np.arange(len(n)), n)
             cells = np.bincount(owner * CELLS + (s.tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(n) * CELLS)
             cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
+            mine = (s.same == np.arange(len(n))) & (n > 0)
+            mine[row["copies"] or []] = False
             keys, docs = [], []
-            for d in np.nonzero((s.same == np.arange(len(n))) & (n > 0))[0].tolist():
+            for d in np.nonzero(mine)[0].tolist():
                 b, e = s.ends[d] - n[d], s.ends[d]
-                need = -(-int(n[d]) * num // den)
-                for k in prefix_keys(s.tokens[b:e], often[b:e], need, pairs_upto, (num, den)):
-                    if len(k):
-                        keys.append(k)
-                        docs.append(np.full(len(k), d))
+                own = set_keys(s.tokens[b:e], often[b:e], num, den, most)
+                keys += own
+                docs.append(np.full(sum(map(len, own)), d))
             if not keys:
                 continue
             h = mix(np.concatenate(keys) + C2)
             d = np.concatenate(docs)
             bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
             code = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(bucket, kind="stable")
+            # a set meets partners of its own size class, and in the class below those that may be smaller
+            own_class, low_class = size_class(n[d]), size_class(-(-n[d] * num // den))
+            lower = np.nonzero(low_class < own_class)[0]
+            unit = np.concatenate([bucket * CLASSES + own_class, bucket[lower] * CLASSES + low_class[lower]])
+            at = np.concatenate([np.arange(len(h)), lower])
+            order = np.argsort(unit, kind="stable")
             out = []
-            begins = groups_of(bucket[order])
+            begins = groups_of(unit[order])
             for x, y in zip(begins, np.append(begins[1:], len(order))):
-                i = order[x:y]
+                i = at[order[x:y]]
                 own = d[i]
                 body = b"".join([binary(code[i], "<u4"), binary(own, "<u2"), binary(n[own], "<u4"), cells[own].tobytes()])
-                out.append((int(bucket[i[0]]), block.number, len(i), body))
+                out.append((int(unit[order[x]]), block.number, len(i), body))
             cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "block", "n", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["unit", "block", "n", "body"])
 
     return run
 
@@ -358,10 +400,10 @@ def _candidates(num: int, den: int):
                 forest.union(x, y)
 
         for row in rows_of(batches):
-            if row["bucket"] != now:
+            if row["task"] != now:
                 if held:
                     take()
-                now, held = row["bucket"], []
+                now, held = row["task"], []
                 if len(forest.parent) > 500_000:
                     yield forest.stars()
                     forest.parent.clear()
@@ -373,6 +415,14 @@ def _candidates(num: int, den: int):
     return run
 
 
+def dealt(rows: DataFrame, unit: str, parts: Column, by: Column) -> DataFrame:
+    """Adds task: the unit itself, or for a unit of several ``parts`` each pair of parts that a row's own is one of; own, other."""
+    own = F.pmod(F.xxhash64(by), parts).cast("int")
+    out = rows.select("*", own.alias("own"), parts.alias("parts")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    task = F.when(F.col("parts") == 1, F.col(unit)).otherwise(F.xxhash64(unit, F.least("own", "other"), F.greatest("own", "other")))
+    return out.withColumn("task", task)
+
+
 HISTOGRAMS = "grp long, place long, n int, cells binary"
 
 #: Cells of the finer histogram that parts long documents, too.
@@ -398,7 +448,7 @@ def _histograms(size: int):
 
 
 def _refine(num: int, den: int):
-    """Groups of candidates apart, as far as the finer bounds part them; what stands alone goes."""
+    """Stars of candidates that the finer bounds leave together; what stands alone goes."""
 
     def solve(places: list[int], sizes: list[int], cells: list[bytes]) -> pa.RecordBatch:
         order = np.argsort(np.array(sizes), kind="stable")
@@ -407,7 +457,7 @@ def _refine(num: int, den: int):
         low = np.searchsorted(n, -(-n * num // den))
         high = np.searchsorted(n, n * den // num, "right")
         left = np.ones(len(n), bool)
-        out_n, out_c = [], []
+        out_a, out_b = [], []
         for root in range(len(n)):
             if not left[root]:
                 continue
@@ -424,9 +474,9 @@ def _refine(num: int, den: int):
                     queue.extend(hit.tolist())
             if len(group) > 1:
                 members = place[group]
-                out_n.extend(members.tolist())
-                out_c.extend([int(members.min())] * len(group))
-        return pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_c, pa.int64())], names=["node", "component"])
+                out_a.extend(members.tolist())
+                out_b.extend([int(members.min())] * len(group))
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [], [])
@@ -455,7 +505,7 @@ def _members(size: int):
             block = read_block(row)
             s = block_sets(block, size)
             weight = np.bincount(s.same, minlength=len(s.same))
-            rows = [(w["grp"], w["part"], w["place"], int(block.doc_ids[d]), int(weight[d]), s.of(d).tobytes()) for w in row["wanted"] for d in (w["place"] & 0xFFFF,)]
+            rows = [(w["grp"], w["part"], w["place"], int(block.doc_ids[d]), int(weight[d]) if w["weight"] is None else w["weight"], s.of(d).tobytes()) for w in row["wanted"] for d in (w["place"] & 0xFFFF,)]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             for i in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 2000]), kinds)], names=["grp", "part", "place", "doc_id", "weight", "tokens"])
@@ -595,32 +645,68 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ids[same[k]])], names=["a", "b"])
 
 
+DIFFERENT = "place long, doc_id long, n long, first long, second long, weight long"
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different sets of each block that are not empty: digests, and how many documents have each."""
+    for row in rows_of(batches):
+        ids = np.frombuffer(row["doc_ids"], "<i8")
+        same = np.frombuffer(row["same"], "<u2").astype(np.int64)
+        sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        k = np.nonzero((same == np.arange(len(same))) & (sizes > 0))[0]
+        weight = np.bincount(same, minlength=len(same))[k] if len(same) else k
+        cols = [(row["block"] << 16) | k, ids[k], sizes[k], *[np.frombuffer(row[x], "<i8")[k] for x in ("first", "second")], weight]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in DIFFERENT.split(", ")])
+
+
+def copies_of(profile: DataFrame, scratch: Scratch) -> DataFrame:
+    """place, doc_id, rep, rep_doc and weight for each different set of a block that other blocks have, too.
+
+    rep is the first place of such a set, weight the number of all documents with it.
+    """
+    key = ["n", "first", "second"]
+    sets = profile.select("block", "doc_ids", "sizes", "same", "first", "second").mapInArrow(_different, DIFFERENT)
+    shared = sets.groupBy(*key).agg(F.count("*").alias("blocks"), F.min(F.struct("place", "doc_id")).alias("rep"), F.sum("weight").alias("weight")).where("blocks > 1")
+    found = sets.drop("weight").join(shared, key)
+    return scratch.save(found.select("place", "doc_id", F.col("rep.place").alias("rep"), F.col("rep.doc_id").alias("rep_doc"), "weight"), "copies")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 3,
     num: int = 9,
     den: int = 10,
-    pairs_upto: int = 220,
+    most: int = 200,
     frequent: int = 16,
+    unit: int = 50_000,
+    refined: int = 20_000,
     group: int = 1000,
-    refine_upto: int = 100_000,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for each row of ``docs``.
 
     Two documents link when the Jaccard similarity of their sets of ``size``-word
-    shingles is at least num / den; component_id is the smallest doc_id that
-    links reach. n_links counts the rows a row links with. A document without
-    words links with nothing. Rows that share a doc_id share its component.
-
-    A token is frequent when ``frequent`` or more different sets hold it (at
-    most 255 of a block count). Blocks learn which of their own tokens are,
-    through the same buckets as anything else; nothing is broadcast. That
-    choice moves work, never results. Candidates that pass size and histogram
-    bounds form groups, which finer histograms take apart (groups of up to
-    ``refine_upto``; larger ones go on as they are). A group larger than ``group`` is verified part against
-    part, each pair of parts in a task of its own, so no link is lost.
+    shingles is at least num / den (a half or more); component_id is the smallest
+    doc_id that links reach. n_links counts the rows a row links with. A document
+    without words links with nothing. Rows that share a doc_id (null is one)
+    share its component.
+
+    Sets that are equal count as one from the start, in a block and between
+    blocks. A token is frequent when ``frequent`` or more different sets hold it
+    (at most 255 of a block count). Blocks learn which of their own tokens are,
+    through the same buckets as anything else; nothing is broadcast. Sets of more
+    than ``most`` tokens are parted. These choices move work, never results.
+
+    Holders of a key meet by size class. Where more than ``unit`` entries of a
+    bucket and class come together, they are dealt to parts, and each pair of
+    parts is a task. Candidates that pass size and histogram bounds form groups,
+    which finer histograms take apart, ``refined`` of a group at a time, and
+    which are then verified whole, part against part, by tasks of at most two
+    parts of ``group`` sets: no link is lost, and no task grows with a group.
     """
+    if 2 * num < den:
+        raise ValueError("similarities below a half are not served")
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "ngrams")
@@ -629,45 +715,56 @@ def near_duplicates(
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
     bits = max(0, min(30, (int(total) // (4 << 20)).bit_length()))
     profile = scratch.save(blocks.mapInArrow(_profile(size), PROFILE), "profile")
+    copies = copies_of(profile, scratch)
     counts = blocks.mapInArrow(_token_counts(size, bits), COUNTS).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     flags = counts.mapInArrow(_frequent(frequent), FLAGS).groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("flags"))
-    keys = blocks.join(flags.hint("merge"), "block", "left").mapInArrow(_keys(size, num, den, pairs_upto, bits), KEYS)
-    stars = keys.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(num, den), "a long, b long")
+    skipped = copies.where("place <> rep").groupBy(F.shiftright("place", 16).alias("block")).agg(F.collect_list(F.col("place").bitwiseAND(0xFFFF).cast("int")).alias("copies"))
+    told = flags.join(skipped, "block", "full")
+    keys = scratch.save(blocks.join(told.hint("merge"), "block", "left").mapInArrow(_keys(size, num, den, most, bits), KEYS), "keys", codec="uncompressed")
+    del counts, flags, told
+    release(spark)
+    heavy = keys.groupBy("unit").agg(F.sum("n").alias("held")).where(F.col("held") > unit).select("unit", F.ceil(F.col("held") / unit).cast("int").alias("asked"))
+    met = dealt(keys.join(heavy, "unit", "left"), "unit", F.coalesce("asked", F.lit(1)), F.col("block")).select("task", "block", "n", "body")
+    stars = met.repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(_candidates(num, den), "a long, b long")
     candidates = components(stars, scratch, "candidates")
-    del counts, flags, keys, stars
+    del met, stars
     release(spark)
-    sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("size")), "component")
-    asked = sized.where(F.col("size") <= refine_upto).select(F.shiftright("node", 16).alias("block"), F.struct(F.col("component").alias("grp"), F.col("node").alias("place")).alias("w"))
-    asked = asked.groupBy("block").agg(F.collect_list("w").alias("wanted"))
+
+    sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("held")), "component")
+    asked = dealt(sized, "component", F.ceil(F.col("held") / refined).cast("int"), F.col("node"))
+    asked = asked.groupBy(F.shiftright("node", 16).alias("block")).agg(F.collect_list(F.struct(F.col("task").alias("grp"), F.col("node").alias("place"))).alias("wanted"))
     fine = blocks.join(asked.hint("merge"), "block").mapInArrow(_histograms(size), HISTOGRAMS).repartition(n_parts, "grp").sortWithinPartitions("grp")
-    fine = fine.mapInArrow(_refine(num, den), "node long, component long")
-    candidates = scratch.save(fine.unionByName(sized.where(F.col("size") > refine_upto).select("node", "component")), "groups")
+    candidates = components(fine.mapInArrow(_refine(num, den), "a long, b long"), scratch, "groups")
     del sized, asked, fine
     release(spark)
 
-    parts = candidates.groupBy("component").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("parts"))
-    member = candidates.join(parts, "component").select("component", F.col("node").alias("place"), "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    task = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    wanted = member.select("component", "place", "parts", "own", other).select(
-        F.shiftright("place", 16).alias("block"),
-        F.struct(F.when(F.col("parts") == 1, F.col("component")).otherwise(task).alias("grp"), F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2)).alias("part"), "place").alias("w"),
+    # up to sixteen parts share the work of a group, beyond that parts are full
+    held = F.col("held")
+    into = F.greatest(F.least(F.ceil(held / F.lit(max(1, group // 16))), F.lit(16)), F.ceil(held / F.lit(group))).cast("int")
+    member = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("held")), "component").join(copies.select(F.col("place").alias("node"), "weight"), "node", "left")
+    wanted = dealt(member, "component", into, F.col("node")).select(
+        F.shiftright("node", 16).alias("block"),
+        F.struct(F.col("task").alias("grp"), F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2)).alias("part"), F.col("node").alias("place"), "weight").alias("w"),
     )
     wanted = wanted.groupBy("block").agg(F.collect_list("w").alias("wanted"))
     members = blocks.join(wanted.hint("merge"), "block").mapInArrow(_members(size), MEMBERS).repartition(n_parts, "grp").sortWithinPartitions("grp")
     links = scratch.save(members.mapInArrow(_verify(num, den), LINKS), "links")
+    del wanted, members
+    scratch.drop("blocks", "keys")
 
     equal = profile.select("doc_ids", "same").mapInArrow(_equal, NO_BODY)
-    edges = links.where(f"kind = {EDGE}").select("a", "b").unionByName(equal)
+    apart = copies.where("place <> rep").select(F.col("doc_id").alias("a"), F.col("rep_doc").alias("b"))
+    edges = links.where(f"kind = {EDGE}").select("a", "b").unionByName(equal).unionByName(apart)
     label = components(edges, scratch, "links").withColumnRenamed("node", "doc_id")
-    degree = links.where(f"kind = {DEGREE}").groupBy(F.col("a").alias("place")).agg(F.sum("b").alias("degree"))
+    degree = links.where(f"kind = {DEGREE}").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("degree"))
     rows = profile.select("block", "doc_ids", "sizes", "same").mapInArrow(_documents, DOCS)
-    out = rows.join(degree, "place", "left").join(label, "doc_id", "left")
+    rows = rows.join(copies.select("place", "rep", F.col("weight").alias("all")), "place", "left").withColumn("rep", F.coalesce("rep", "place"))
+    out = rows.join(degree, "rep", "left").join(label, "doc_id", "left")
     return out.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
         "n_shingles",
         F.nullif(F.coalesce("component", "doc_id"), F.lit(NO_ID)).alias("component_id"),
-        F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("degree", F.col("weight") - 1)).cast("long").alias("n_links"),
+        F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("degree", F.coalesce("all", "weight") - 1)).cast("long").alias("n_links"),
     )
 
 

@@ -387,7 +387,7 @@ def test_maximal_repeats():
     assert found == {b"abcd": [1, 7, 13], b"abcd1": [1, 13]}
 
 
-@pytest.mark.parametrize("more", [{}, {"frequent": 1, "block_bytes": 3000}, {"frequent": 2, "group": 2, "block_bytes": 20000}, {"frequent": 2, "refine_upto": 1}])
+@pytest.mark.parametrize("more", [{}, {"frequent": 1, "block_bytes": 3000}, {"frequent": 2, "group": 2, "block_bytes": 20000}, {"frequent": 2, "refined": 20, "unit": 2000}, {"frequent": 2, "most": 20, "block_bytes": 20000}])
 def test_near_duplicates(odd, documents, rows, more):
     for df, own in ((odd, ODD), (documents, rows)):
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(df, **more).collect())
@@ -399,6 +399,38 @@ def test_near_duplicates_of_five_words(documents, rows):
     assert got == brute.near(rows, 5, 4, 5)
 
 
+@pytest.mark.parametrize("num, den", [(9, 10), (4, 5), (1, 2)])
+def test_long_sets_are_parted_without_loss(num, den):
+    """Every pair that is similar enough has a key in common, whatever the sizes are."""
+    rng = np.random.default_rng(num)
+    near = 0
+    for trial in range(400):
+        n = int(rng.integers(1, 120))
+        a = rng.choice(1 << 40, n, replace=False).astype(np.uint64)
+        gone = int(rng.integers(0, 1 + n * (den - num) // den))
+        more = rng.choice(1 << 41, int(rng.integers(0, 2 + n * (den - num) // num)), replace=False).astype(np.uint64) + np.uint64(1 << 50)
+        b = np.concatenate([rng.permutation(a)[gone:], more])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if den * both < num * (len(a) + len(b) - both) or not both:
+            continue
+        near += 1
+        share = rng.choice([0.0, 0.3, 1.0])
+        keys = [np.concatenate(ngram_join.set_keys(x, (x * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(1000) < np.uint64(1000 * share), num, den, 16)) for x in (a, b)]
+        assert len(np.intersect1d(*keys)), (len(a), len(b), share)
+    assert near > 100
+
+
+def test_copies_and_boilerplate_in_many_blocks(spark):
+    common = " ".join(f"c{i}" for i in range(40))
+    own = [(i, "the very same text of nine words stands here") for i in range(30)]
+    own += [(100 + i, f"{common} {i}") for i in range(30)] + [(200 + i, f"own{i} words{i} of {i} " + common[: 20 + 3 * i]) for i in range(30)]
+    own += [(300, None), (301, ""), (302, "two words"), (303, "Two Words")]
+    for more in ({"frequent": 2, "block_bytes": 500, "unit": 10}, {"frequent": 2, "block_bytes": 500, "unit": 10, "refined": 4, "group": 16}):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(frame(spark, own), **more).collect())
+        assert got == brute.near(own)
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
