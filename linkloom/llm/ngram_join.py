@@ -645,6 +645,12 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ids[same[k]])], names=["a", "b"])
 
 
+def shares(full: int) -> Column:
+    """Parts of a group of ``held`` members: up to sixteen share its work, beyond that each has ``full`` members."""
+    held = F.col("held")
+    return F.greatest(F.least(F.ceil(held / F.lit(max(1, min(full, 1000) // 16))), F.lit(16)), F.ceil(held / F.lit(full))).cast("int")
+
+
 DIFFERENT = "place long, doc_id long, n long, first long, second long, weight long"
 
 
@@ -727,22 +733,20 @@ def near_duplicates(
     met = dealt(keys.join(heavy, "unit", "left"), "unit", F.coalesce("asked", F.lit(1)), F.col("block")).select("task", "block", "n", "body")
     stars = met.repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(_candidates(num, den), "a long, b long")
     candidates = components(stars, scratch, "candidates")
-    del met, stars
+    del met, stars, keys
+    scratch.drop("keys")
     release(spark)
 
     sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("held")), "component")
-    asked = dealt(sized, "component", F.ceil(F.col("held") / refined).cast("int"), F.col("node"))
+    asked = dealt(sized, "component", shares(refined), F.col("node"))
     asked = asked.groupBy(F.shiftright("node", 16).alias("block")).agg(F.collect_list(F.struct(F.col("task").alias("grp"), F.col("node").alias("place"))).alias("wanted"))
     fine = blocks.join(asked.hint("merge"), "block").mapInArrow(_histograms(size), HISTOGRAMS).repartition(n_parts, "grp").sortWithinPartitions("grp")
     candidates = components(fine.mapInArrow(_refine(num, den), "a long, b long"), scratch, "groups")
     del sized, asked, fine
     release(spark)
 
-    # up to sixteen parts share the work of a group, beyond that parts are full
-    held = F.col("held")
-    into = F.greatest(F.least(F.ceil(held / F.lit(max(1, group // 16))), F.lit(16)), F.ceil(held / F.lit(group))).cast("int")
     member = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("held")), "component").join(copies.select(F.col("place").alias("node"), "weight"), "node", "left")
-    wanted = dealt(member, "component", into, F.col("node")).select(
+    wanted = dealt(member, "component", shares(group), F.col("node")).select(
         F.shiftright("node", 16).alias("block"),
         F.struct(F.col("task").alias("grp"), F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2)).alias("part"), F.col("node").alias("place"), "weight").alias("w"),
     )
@@ -750,7 +754,7 @@ def near_duplicates(
     members = blocks.join(wanted.hint("merge"), "block").mapInArrow(_members(size), MEMBERS).repartition(n_parts, "grp").sortWithinPartitions("grp")
     links = scratch.save(members.mapInArrow(_verify(num, den), LINKS), "links")
     del wanted, members
-    scratch.drop("blocks", "keys")
+    scratch.drop("blocks")
 
     equal = profile.select("doc_ids", "same").mapInArrow(_equal, NO_BODY)
     apart = copies.where("place <> rep").select(F.col("doc_id").alias("a"), F.col("rep_doc").alias("b"))
