@@ -725,9 +725,12 @@ def near_duplicates(
     counts = blocks.mapInArrow(_token_counts(size, bits), COUNTS).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     flags = counts.mapInArrow(_frequent(frequent), FLAGS).groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("flags"))
     skipped = copies.where("place <> rep").groupBy(F.shiftright("place", 16).alias("block")).agg(F.collect_list(F.col("place").bitwiseAND(0xFFFF).cast("int")).alias("copies"))
-    told = flags.join(skipped, "block", "full")
-    keys = scratch.save(blocks.join(told.hint("merge"), "block", "left").mapInArrow(_keys(size, num, den, most, bits), KEYS), "keys", codec="uncompressed")
-    del counts, flags, told
+    told = scratch.save(flags.join(skipped, "block", "full"), "told")
+    del counts, flags
+    release(spark)
+    keys = scratch.save(blocks.join(told.hint("merge"), "block", "left").mapInArrow(_keys(size, num, den, most, bits), KEYS), "keys")
+    scratch.drop("told")
+    del told
     release(spark)
     heavy = keys.groupBy("unit").agg(F.sum("n").alias("held")).where(F.col("held") > unit).select("unit", F.ceil(F.col("held") / unit).cast("int").alias("asked"))
     met = dealt(keys.join(heavy, "unit", "left"), "unit", F.coalesce("asked", F.lit(1)), F.col("block")).select("task", "block", "n", "body")
