@@ -89,41 +89,68 @@ class CuckooFilter:
 
 
 class DigestIndex:
-    """Live digests: the filter answers first, a hit is verified against the stored content.
+    """Live digests: the filter answers first, a hit is verified against the content of its bucket.
 
-    The content of a digest is its byte length and the group seen so far
-    (greatest row, rows). A filter hit without stored content counts as new;
-    equal digests of unequal length end the run rather than merge.
+    Content lies in buckets by a part of the digest that the filter does not
+    use. An entry is the text's SHA-256 digest and its length in bytes, and the
+    group seen so far (greatest row, rows). Texts of equal digest and unequal
+    length are different texts, each with an entry. A hit without an equal entry
+    in its bucket counts as new. When buckets grow long, their number doubles.
     """
 
-    def __init__(self) -> None:
-        self.content: dict[bytes, list] = {}
-        self.filter = CuckooFilter(lambda: self.content)
-        self.false_hits = 0
+    def __init__(self, buckets: int = 1024) -> None:
+        self.buckets: list[list[list]] = [[] for _ in range(buckets)]
+        self.filter = CuckooFilter(self.stored)
+        self.count = self.false_hits = 0
+
+    def stored(self) -> Iterator[bytes]:
+        return (e[0] for bucket in self.buckets for e in bucket)
+
+    def _bucket(self, digest: bytes) -> list[list]:
+        return self.buckets[int.from_bytes(digest[12:20], "little") & (len(self.buckets) - 1)]
+
+    def _entry(self, digest: bytes, n_bytes: int) -> list | None:
+        return next((e for e in self._bucket(digest) if e[0] == digest and e[1] == n_bytes), None)
 
     def add(self, digest: bytes, n_bytes: int, row: tuple, count: int = 1) -> None:
         if digest in self.filter:
-            held = self.content.get(digest)
+            held = self._entry(digest, n_bytes)
             if held is not None:
-                if held[0] != n_bytes:
-                    raise ValueError(f"two contents share the digest {digest.hex()}")
-                if row > held[1]:
-                    held[1] = row
-                held[2] += count
+                if row > held[2]:
+                    held[2] = row
+                held[3] += count
                 return
             self.false_hits += 1
         self.filter.add(digest)
-        self.content[digest] = [n_bytes, row, count]
-
-    def remove(self, digest: bytes) -> list | None:
-        """Takes a live digest out again; what was stored for it, or None."""
-        if digest not in self.filter or digest not in self.content:
+        if self.count >= 4 * len(self.buckets):
+            self._widen()
+        self._bucket(digest).append([digest, n_bytes, row, count])
+        self.count += 1
+
+    def _widen(self) -> None:
+        old = self.buckets
+        self.buckets = [[] for _ in range(2 * len(old))]
+        for bucket in old:
+            for e in bucket:
+                self._bucket(e[0]).append(e)
+
+    def remove(self, digest: bytes, n_bytes: int) -> list | None:
+        """Takes a live text out again: its entry, or None."""
+        if digest not in self.filter:
+            return None
+        held = self._entry(digest, n_bytes)
+        if held is None:
             return None
         self.filter.discard(digest)
-        return self.content.pop(digest)
+        self._bucket(digest).remove(held)
+        self.count -= 1
+        return held
+
+    def live(self) -> list[tuple[bytes, int]]:
+        return [(e[0], e[1]) for bucket in self.buckets for e in bucket]
 
     def __len__(self) -> int:
-        return len(self.content)
+        return self.count
 
 
 GROUPS = "digest binary, n_bytes long, keep_doc long, keep_row long, size long"
@@ -139,30 +166,29 @@ def _index(in_order: bool, live: int):
     """Folds rows into groups; at most about ``live`` digests are held.
 
     With ``in_order`` rows come sorted by digest: those before the last one are
-    complete and leave the index. Otherwise the oldest leave, as partial groups.
+    complete and leave the index. Otherwise half of them leave, as partial groups.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestIndex()
+
+        def out(gone: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(gone), 50_000):
+                held = [index.remove(*x) for x in gone[at : at + 50_000]]
+                yield _emit([(e[0], e[1], *e[2], e[3]) for e in held])
+
         for b in batches:
             d, n, doc, row, size = (b.column(i).to_pylist() for i in range(5))
             for x in zip(d, n, doc, row, size):
                 index.add(x[0], x[1], (x[2], x[3]), x[4])
             if len(index) > live:
-                gone = list(index.content)
-                gone = [x for x in gone if x != d[-1]] if in_order else gone[: len(gone) // 2]
-                yield _emit([(x, *_flat(index.remove(x))) for x in gone])
-        for start in range(0, len(index), 50_000):
-            part = list(index.content)[:50_000]
-            yield _emit([(x, *_flat(index.remove(x))) for x in part])
+                gone = index.live()
+                yield from out([x for x in gone if x[0] != d[-1]] if in_order else gone[: len(gone) // 2])
+        yield from out(index.live())
 
     return run
 
 
-def _flat(held: list) -> tuple:
-    return held[0], *held[1], held[2]
-
-
 def exact_groups(docs: DataFrame, live: int = 200_000) -> DataFrame:
     """Groups of rows whose texts are equal after lower-casing A-Z.
 
@@ -188,7 +214,7 @@ def exact_groups(docs: DataFrame, live: int = 200_000) -> DataFrame:
     local = rows.select("digest", "n_bytes", rank.alias("keep_doc"), F.col("row_id").alias("keep_row"), F.lit(1).cast("long").alias("size")).mapInArrow(_index(False, live), GROUPS)
     groups = local.repartition(partitions(spark), "digest").sortWithinPartitions("digest").mapInArrow(_index(True, live), GROUPS)
     groups = scratch.save(groups, "groups")
-    return rows.join(groups.drop("n_bytes"), "digest").select(
+    return rows.join(groups, ["digest", "n_bytes"]).select(
         "doc_id",
         F.nullif(F.col("keep_doc"), F.lit(NO_ID)).alias("keep_id"),
         F.col("size").alias("group_size"),

@@ -89,13 +89,20 @@ def base_spans(rows: DataFrame, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def context_words(c: Column) -> Column:
+    """Lower-case words without the marks around them, digits as one 0."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]+", "0"), rf"(?<![^{SPACE}])[^\p{{L}}0-9@{SPACE}]++|[^\p{{L}}0-9@{SPACE}]++(?![^{SPACE}])", "")
+    return F.filter(F.split(bare, rf"[{SPACE}]+"), lambda x: x != "")
+
+
 def context_tokens(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Words and spaced runs that may be identifiers, with their contexts; ``kind`` where a base span begins in one, ``inside`` where one overlaps it.
 
     Punctuation around a word is not part of it. A run (``run``) has spaces and as
     many digits as a phone or card; a base span is its kind where both begin.
-    Contexts are lower-case words within 80 characters: the two before ("a b _"),
-    and one on either side ("b _ c"), outside the whole run. Of an unseen run's own
+    Contexts are lower-case words within 80 characters, without marks and with
+    all numbers alike: the two before ("a b _"), and one on either side
+    ("b _ c"), outside the whole run. Of an unseen run's own
     words, those that look like no kind are left out, as the run stands for them.
     """
     spaced = places(rows.where(F.col("text").rlike(r"[0-9]\)?[\x20]\(?[0-9]")), RUN, key)
@@ -103,8 +110,7 @@ def context_tokens(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     t = places(rows, TOKEN, key).withColumn("run", F.lit(False)).unionByName(spaced.withColumn("run", F.lit(True)))
     core = F.when(F.col("run"), F.col("found")).otherwise(F.regexp_extract("found", r"[\p{L}0-9@+](?:.*[\p{L}0-9])?", 0))
     lead = F.when(F.col("run"), 0).otherwise(F.length(F.regexp_extract("found", r"^[^\p{L}0-9@+]*", 0)))
-    before = F.filter(F.split(F.lower(F.substring("gap", -REACH, REACH)), rf"[{SPACE}]+"), lambda x: x != "")
-    behind = F.filter(F.split(F.lower(F.substring("after", 1, REACH)), rf"[{SPACE}]+"), lambda x: x != "")
+    before, behind = context_words(F.substring("gap", -REACH, REACH)), context_words(F.substring("after", 1, REACH))
     t = t.select(key, "run", (F.col("start") + lead).alias("start"), core.alias("token"), before.alias("before"), behind.alias("behind")).where("token <> ''")
     one, two = F.try_element_at("before", F.lit(-1)), F.try_element_at("before", F.lit(-2))
     patterns = F.filter(

@@ -209,6 +209,54 @@ def test_personal_learns_spaced_runs(spark):
     assert got[300] == "card:22:41" and got[301] == "" and got[302].startswith("phone:24:")
 
 
+def plain_may_be(kind, token):
+    n = len(re.sub("[^0-9]", "", token))
+    return {"email": "@" in token, "ip": re.fullmatch("[0-9a-fA-F]+(?:[.:][0-9a-fA-F]+){3,}", token) is not None, "card": 12 <= n <= 19, "phone": 6 <= n <= 15}[kind]
+
+
+def plain_graph(tokens, rounds, least_seeds, smoothing):
+    """Scores of unseen instances by loops over the pattern - instance graph."""
+    instances, seeds, links = {}, {}, set()
+    for t in tokens:
+        if t.inside and t.kind is None:
+            continue
+        for pattern in t.patterns:
+            name = t.token if t.kind is None else (t.kind, t.same)
+            instances.setdefault(pattern, set()).add(name)
+            if t.kind is not None:
+                seeds.setdefault((pattern, t.kind), set()).add(name)
+    useful = {k: len(v) for k, v in seeds.items() if len(v) >= least_seeds}
+    for pattern, kind in useful:
+        links |= {(pattern, kind, x) for x in instances[pattern] if isinstance(x, str) and plain_may_be(kind, x)}
+    scores: dict = {}
+    for _ in range(rounds):
+        sure = {(p, k): (n + sum(scores.get((x, kk), 0.0) for pp, kk, x in links if (pp, kk) == (p, k))) / (len(instances[p]) + smoothing) for (p, k), n in useful.items()}
+        doubt: dict = {}
+        for p, k, x in links:
+            doubt[x, k] = doubt.get((x, k), 1.0) * max(1 - sure[p, k], 1e-9)
+        scores = {x: 1 - d for x, d in doubt.items()}
+    return scores
+
+
+def test_graph_scores_equal_the_plain_ones(spark, documents):
+    said = [(i, f"Well, please call me at +1 234 567 8{i:03d} today") for i in range(8)] + [(20 + i, f"Please call me at {555000 + i // 2} now, or at 10.0.0.{i}!") for i in range(8)]
+    said += [(40 + i, f"Write to box{i % 5}@mail.example.org soon; write to box{i} instead, or to me at +1 234 567 9{i:03d} today") for i in range(8)]
+    rows = spark.createDataFrame(said, "row long, text string").unionByName(documents.select((F.col("doc_id") + 1000).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
+    scratch = personal.Scratch(spark, "graph")
+    base = scratch.save(personal.base_spans(rows, "row"), "base")
+    tokens = scratch.save(personal.context_tokens(rows, base, "row"), "tokens")
+    got = {(r.instance, r.kind): r.score for r in personal.score_graph(tokens, scratch, 3, 3, 2.0).collect()}
+    want = plain_graph(tokens.collect(), 3, 3, 2.0)
+    assert got.keys() == want.keys() and len(want) >= 4
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_contexts_know_numbers_and_marks_alike(spark):
+    said = [(i, f"Order {i}, (tel.) no. {i}: +1 234 567 8{i:03d}; thanks") for i in range(12)] + [(50, "Order 77: tel no. 4: 017 555 7713 thanks"), (51, "in 2019 017 555 7713 units")]
+    got = {r.doc_id: r.spans for r in personal.personal(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    assert got[50].startswith("phone:21:")
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -491,6 +539,34 @@ def test_drop_copies_keeps_one_of_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (2, "a"), (3, "b")]
 
 
+def test_digest_index_verifies_hits_in_buckets():
+    import hashlib
+
+    index = exact_dedup.DigestIndex(buckets=2)
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    for turn in range(2):
+        for i, k in enumerate(keys):
+            index.add(k, 10, (i, turn))
+    index.add(keys[0], 11, (7, 7))  # equal digest, another length
+    assert len(index) == 3001 and len(index.buckets) > 512 and sorted(index.stored()) == sorted([*keys, keys[0]])
+    assert index.remove(keys[5], 10) == [keys[5], 10, (5, 1), 2] and index.remove(keys[5], 10) is None
+    assert index.remove(keys[0], 11) == [keys[0], 11, (7, 7), 1] and index.remove(keys[0], 10)[3] == 2
+    clash = keys[9][:2] + bytes(2) + keys[9][4:12] + bytes(20)  # the filter cannot tell it from keys[9]
+    assert clash in index.filter and index.remove(clash, 10) is None
+    index.add(clash, 10, (1, 1))
+    assert index.false_hits > 0 and index.remove(clash, 10)[3] == 1
+
+
+def test_most_frequent_is_a_cut(spark):
+    rows = [(f"p{i}", 1 + i * i % 5000) for i in range(3000)]
+    counted = spark.createDataFrame(rows, "pre_token string, n long")
+    for most in (0, 10, 500, 5000):
+        got = sorted(r.n for r in token_counts.most_frequent(counted, most).collect())
+        ranked = sorted(n for _, n in rows)
+        assert len(got) <= most and got == ranked[len(ranked) - len(got) :]
+        assert most < 500 or len(got) > most * 0.8 or len(got) == 3000
+
+
 def test_cuckoo_filter():
     import hashlib
 
