@@ -5,10 +5,16 @@ Text that is ASCII already never needs the first two; it is passed over as null.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# workers get these functions with the plan: they need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ASCII = r"^[\x00-\x7F]*$"
 
 

@@ -51,10 +51,28 @@ def cost(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     return a.join(b, KEY).groupBy("key_type").agg(F.sum(F.col("n1") * F.col("n2")).cast("long").alias("join_rows"), F.count("*").alias("shared_keys"))
 
 
-def exact(records: DataFrame) -> DataFrame:
-    """Equal names or addresses, alone or with the country."""
+def index_sizes(keys: DataFrame) -> DataFrame:
+    """For each key type: different keys, and assignments of keys to records."""
+    return keys.groupBy(*KEY).agg(F.count("*").alias("n")).groupBy("key_type").agg(F.count("*").alias("different_keys"), F.sum("n").alias("assignments"))
+
+
+def ordered(candidates: DataFrame) -> DataFrame:
+    """Candidates by S1 record, source and candidate, as they are written."""
+    return candidates.orderBy("source1_entity_id", "candidate_source", "candidate_entity_id")
+
+
+def exact(records: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Equal names or addresses, alone or with the country.
+
+    Keys have no cap here: n and m records of one name are n * m pairs. With
+    ``most_rows``, the join's rows are counted first, and a ValueError names the
+    key types that would make more.
+    """
     s1, sx = split_sides(records)
-    return match(K.exact_keys(s1), K.exact_keys(sx, "source"))
+    a, b = K.exact_keys(s1), K.exact_keys(sx, "source")
+    if most_rows is not None and (large := cost(a, b).where(F.col("join_rows") > most_rows).collect()):
+        raise ValueError("too many pairs: " + ", ".join(f"{r.key_type} {r.join_rows}" for r in large))
+    return match(a, b)
 
 
 def structural(records: DataFrame, cap: int = 50) -> DataFrame:

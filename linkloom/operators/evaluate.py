@@ -84,6 +84,50 @@ CONDITIONS = {
 }
 
 
+#: Named conditions over the character similarities of a pair: combined evidence, then combinations of strong and weak.
+CHAR_CONDITIONS = {
+    "name_ge_80_or_address_ge_50": "name_char_similarity >= 0.80 or address_char_similarity >= 0.50",
+    "name_ge_80_and_address_ge_50": "name_char_similarity >= 0.80 and address_char_similarity >= 0.50",
+    "name_ge_70_or_address_ge_40": "name_char_similarity >= 0.70 or address_char_similarity >= 0.40",
+    "name_ge_85_or_address_ge_85": "name_char_similarity >= 0.85 or address_char_similarity >= 0.85",
+    "name_jaccard_ge_50_or_address_jaccard_ge_50": "name_jaccard >= 0.50 or address_jaccard >= 0.50",
+    "name_char3_ge_50_or_address_char3_ge_50": "name_char3_jaccard >= 0.50 or address_char3_jaccard >= 0.50",
+    "strong_name_weak_address": "name_char_similarity >= 0.85 and address_char_similarity < 0.50",
+    "weak_name_strong_address": "name_char_similarity < 0.70 and address_char_similarity >= 0.85",
+    "strong_name_strong_address": "name_char_similarity >= 0.85 and address_char_similarity >= 0.85",
+    "weak_name_weak_address": "name_char_similarity < 0.70 and address_char_similarity < 0.70",
+}
+
+#: Conditions that are reported for each source.
+SOURCE_CONDITIONS = {
+    "name_char_ge_80": "name_char_similarity >= 0.80",
+    "name_char_ge_90": "name_char_similarity >= 0.90",
+    "address_char_ge_80": "address_char_similarity >= 0.80",
+    "address_char_ge_90": "address_char_similarity >= 0.90",
+    "name_ge_80_or_address_ge_50": CHAR_CONDITIONS["name_ge_80_or_address_ge_50"],
+}
+
+#: Thresholds of the character similarities.
+CHAR_THRESHOLDS = {
+    "name_char_similarity": (0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95),
+    "address_char_similarity": (0.30, 0.40, 0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95),
+}
+
+
+def high_similarity(measures: DataFrame, least: float = 0.85) -> DataFrame:
+    """Pairs whose names or addresses are nearly equal."""
+    return measures.where((F.col("name_char_similarity") >= least) | (F.col("address_char_similarity") >= least))
+
+
+def shared_summary(rarity: DataFrame, kinds: Iterable[str] = ("name", "address")) -> DataFrame:
+    """For each kind of key: pairs that share one or more, of how many, and how many a pair shares on average."""
+    kinds = list(kinds)
+    row = rarity.agg(F.count("*").alias("total"), *[F.count_if(F.col(f"{k}_shared_count") > 0).alias(f"{k}_n") for k in kinds], *[F.avg(f"{k}_shared_count").alias(f"{k}_mean") for k in kinds])
+    each = [F.struct(F.lit(k).alias("kind"), F.col(f"{k}_n").alias("pairs_sharing"), F.col(f"{k}_mean").alias("mean_shared")) for k in kinds]
+    out = row.select("total", F.explode(F.array(*each)).alias("x")).select("x.*", "total")
+    return out.withColumn("pct", F.when(F.col("total") > 0, F.col("pairs_sharing") * 100.0 / F.col("total")).otherwise(0.0))
+
+
 def condition_rates(measures: DataFrame, by: str | None = None, conditions: dict[str, str] | None = None) -> DataFrame:
     conditions = conditions or CONDITIONS
     aggs: list[Column] = [F.count("*").alias("total"), *[F.count_if(F.expr(e)).alias(f"c{i}") for i, e in enumerate(conditions.values())]]

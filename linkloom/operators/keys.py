@@ -166,14 +166,6 @@ COMPOSITES = {
 }
 
 
-def composite_keys(rare: DataFrame, *also: str) -> DataFrame:
-    """Keys of the six composite routes from arrays of rare components (name, address, number)."""
-    typed = {}
-    for name, parts in COMPOSITES.items():
-        typed[name] = unordered_pairs(F.col(next(iter(parts)))) if 2 in parts.values() else cross(*[F.col(p) for p in parts])
-    return _spread(rare, typed, *also)
-
-
 def boolean_routes(records: DataFrame) -> DataFrame:
     """One column per direct route; all carry the country, so that empty equals empty where the country does."""
     c = N.unicode_text("country")

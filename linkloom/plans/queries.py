@@ -18,6 +18,7 @@ from linkloom.operators import blocking, evaluate, pairs, profile, sampling, sim
 from linkloom.operators import keys as K
 from linkloom.plans import sql as S
 from linkloom.sources import tables
+from linkloom.sources.store import stored
 
 STRUCTURAL_CAP, APPROXIMATE_CAP, NAME_CAP, ADDRESS_CAP = 10, 10, 5, 10
 CAPS = (3, 5, 10, 20, 50, 100)
@@ -46,7 +47,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.shingle_truth(tables.document_words(spark, d))
+    return stored(spark, "truth", f"{d}/documents.parquet", lambda: pairs.shingle_truth(tables.document_words(spark, d)))
 
 
 def structural(spark: SparkSession, d: str) -> DataFrame:
@@ -58,12 +59,7 @@ def approximate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missed(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.missed(truth(spark, d), structural(spark, d))
-
-
-def once(df: DataFrame) -> DataFrame:
-    """A small table that a plan reads many times, cut off by a checkpoint where a folder is set for it."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    return stored(spark, "missed", f"{d}/documents.parquet", lambda: pairs.missed(truth(spark, d), structural(spark, d)))
 
 
 STRUCTURAL = S.structural("docs_rec", STRUCTURAL_CAP)
@@ -243,6 +239,16 @@ def join_cost(spark: SparkSession, d: str) -> DataFrame:
     return blocking.cost(K.exact_keys(s1), K.exact_keys(sx))
 
 
+@query(f"{S.with_(S.DOCUMENTS, S.structural_keys('docs_rec'))}SELECT key_type, count(DISTINCT key) AS different_keys, count(*) AS assignments FROM k GROUP BY key_type")
+def index_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.index_sizes(K.structural_keys(docs(spark, d)))
+
+
+@query(f"{S.with_(S.DOCUMENTS, STRUCTURAL)}SELECT {CANDIDATE} FROM cand ORDER BY source1_entity_id, candidate_source, candidate_entity_id")
+def sorted_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.ordered(structural(spark, d))
+
+
 @query(f"{S.with_(S.WORDS, S.TRUTH)}SELECT {IDS} FROM truth")
 def true_pairs(spark: SparkSession, d: str) -> DataFrame:
     return truth(spark, d)
@@ -384,6 +390,42 @@ def stratified_examples(spark: SparkSession, d: str) -> DataFrame:
     return sampling.examples(measures(spark, d), 20).select(*pairs.IDS, "diagnostic_group", "name_jaccard", "address_jaccard")
 
 
+def ratio_measures(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, "measures", f"{d}/documents.parquet", lambda: measures(spark, d, True))
+
+
+@query()
+def char_threshold_table(spark: SparkSession, d: str) -> DataFrame:
+    own = ratio_measures(spark, d)
+    tables_ = [evaluate.threshold_table(own, [c], ts) for c, ts in evaluate.CHAR_THRESHOLDS.items()]
+    return tables_[0].unionByName(tables_[1])
+
+
+@query()
+def char_condition_rates(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.condition_rates(ratio_measures(spark, d), conditions=evaluate.CHAR_CONDITIONS)
+
+
+@query()
+def char_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.condition_rates(ratio_measures(spark, d), "candidate_source", evaluate.SOURCE_CONDITIONS)
+
+
+@query()
+def char_describe(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.describe(ratio_measures(spark, d), (*METRICS, *evaluate.CHAR_THRESHOLDS, "address_common_numbers"))
+
+
+@query()
+def char_examples(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.examples(ratio_measures(spark, d), 20, strata=sampling.CHAR_STRATA).select(*pairs.IDS, "diagnostic_group", "name_char_similarity", "address_char_similarity")
+
+
+@query()
+def high_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.high_similarity(ratio_measures(spark, d)).select(*pairs.IDS, "name_char_similarity", "address_char_similarity")
+
+
 # ---- recovery of missed pairs ----
 
 _CAPS = f"(SELECT unnest([{', '.join(map(str, CAPS))}]) AS cap)"
@@ -406,7 +448,7 @@ CHARS = S.with_(S.DOCUMENTS, S.TRUTH, STRUCTURAL, S.MISSED, S.char_keys("docs_re
 
 
 def _shared(spark: SparkSession, d: str, keys: Callable) -> DataFrame:
-    k = keys(docs(spark, d))
+    k = stored(spark, keys.__name__, f"{d}/documents.parquet", lambda: keys(docs(spark, d)))
     return simulate.shared_keys(missed(spark, d), k, blocking.frequency(k))
 
 
@@ -452,6 +494,11 @@ def pair_rarity(spark: SparkSession, d: str) -> DataFrame:
     return char_rarity(spark, d)
 
 
+@query(CHARS + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER (WHERE {k}_shared_count > 0) AS pairs_sharing, avg({k}_shared_count) AS mean_shared, count(*) AS total, CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE {k}_shared_count > 0) * 100.0::DOUBLE / count(*) ELSE 0.0 END AS pct FROM rare" for k in ("name", "address")))
+def shared_gram_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.shared_summary(char_rarity(spark, d))
+
+
 POINTS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -500,14 +547,16 @@ COMPOSITE_SWEEP = _near(S.component_keys("docs_rec", "kk"), COMPOSITE_VALUES) +
 
 @query(f"{CHAR_SWEEP} SELECT * FROM swept")
 def char_route_sweep(spark: SparkSession, d: str) -> DataFrame:
-    m = once(missed(spark, d))
-    return simulate.sweep(m, once(simulate.char_values(m, docs(spark, d), max(CAPS))), T.ROUTES, CAPS)
+    m = missed(spark, d)
+    values = stored(spark, "char-values", f"{d}/documents.parquet", lambda: simulate.char_values(m, docs(spark, d), max(CAPS)))
+    return simulate.sweep(m, values, T.ROUTES, CAPS)
 
 
 @query(f"{COMPOSITE_SWEEP} SELECT * FROM swept")
 def composite_route_sweep(spark: SparkSession, d: str) -> DataFrame:
-    m = once(missed(spark, d))
-    return simulate.sweep(m, once(simulate.composite_values(m, docs(spark, d), max(CAPS))), K.COMPOSITES, CAPS)
+    m = missed(spark, d)
+    values = stored(spark, "composite-values", f"{d}/documents.parquet", lambda: simulate.composite_values(m, docs(spark, d), max(CAPS)))
+    return simulate.sweep(m, values, K.COMPOSITES, CAPS)
 
 
 @query(f"{COMPOSITE_SWEEP} SELECT route, cap AS best_cap, recovered, recovery_pct FROM swept QUALIFY row_number() OVER (PARTITION BY route ORDER BY recovered DESC, cap) = 1")
@@ -643,3 +692,19 @@ def missed_records(spark: SparkSession, d: str) -> DataFrame:
     return tables.lookup(docs(spark, d), missed(spark, d), "candidate_entity_id")
 
 
+_VALIDATION = """
+part AS MATERIALIZED (SELECT source1_entity_id FROM gt QUALIFY row_number() OVER (ORDER BY md5('42|' || source1_entity_id), source1_entity_id) > floor((SELECT count(*) FROM gt) * 0.8)),
+all_truth AS MATERIALIZED (SELECT * FROM truth), all_cand AS MATERIALIZED (SELECT * FROM cand)"""
+_VALIDATED = _evaluation("vcand").replace("FROM truth", "FROM vtruth")
+
+
+@query(
+    f"""{S.with_(S.DOCUMENTS, S.TRUTH, STRUCTURAL, GT, _VALIDATION)}, vtruth AS MATERIALIZED (SELECT t.* FROM all_truth t SEMI JOIN part USING (source1_entity_id)), vcand AS MATERIALIZED (SELECT c.* FROM all_cand c SEMI JOIN part USING (source1_entity_id))"""
+    + _VALIDATED
+)
+def validation_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The structural blocker on the validation part of the split: only its S1 records are blocked and evaluated."""
+    part = sampling.split(listed(spark, d), "source1_entity_id").where("part = 'validation'")
+    records = docs(spark, d)
+    s1 = tables.lookup(records.where("source = 'S1'"), part, "source1_entity_id")
+    return evaluate.evaluation(pairs.truth_pairs(part), blocking.structural(s1.unionByName(records.where("source <> 'S1'")), STRUCTURAL_CAP))

@@ -34,12 +34,14 @@ DIAGNOSTIC = StructType(
 NA_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType, missing: str = "empty") -> DataFrame:
+def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType, missing: str = "empty", lines_in_values: bool = False) -> DataFrame:
     """A table with a header, types as declared. missing: "empty" keeps blanks as empty text and NA texts as they are; "null" makes both null.
 
-    The file's columns may be more, and in another order, than the schema's.
+    The file's columns may be more, and in another order, than the schema's. A
+    large file is read in splits, unless ``lines_in_values``: quoted values may
+    then hold line ends, and a file is one task.
     """
-    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, inferSchema=False)
+    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=lines_in_values, inferSchema=False)
     cols = []
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
@@ -52,8 +54,8 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType, mis
 
 
 def write_tsv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """With ``order``, one sorted file; else as many as there are partitions."""
-    out = df.orderBy(*order).coalesce(1) if order else df
+    """As many files as there are partitions; with ``order``, sorted in the order of their names."""
+    out = df.orderBy(*order) if order else df
     out.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
 
 
@@ -67,6 +69,11 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def existing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of the columns that the table has, in the order asked for."""
+    return df.select(*[c for c in columns if c in df.columns])
+
+
 def lookup(records: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Records whose id is in a column of ``ids``."""
     return records.join(ids.select(F.col(column).alias("entity_id")).distinct(), "entity_id", "left_semi")

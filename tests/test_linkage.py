@@ -192,9 +192,9 @@ def test_tsv(spark, tmp_path):
     at = str(tmp_path / "r")
     tables.write_tsv(df, at, ["entity_id"])
     assert tables.exists(spark, at) and not tables.exists(spark, at + "x")
-    kept = {r.entity_id: r for r in tables.read_tsv(spark, at, tables.RECORD).collect()}
+    kept = {r.entity_id: r for r in tables.read_tsv(spark, at, tables.RECORD, lines_in_values=True).collect()}
     assert kept["S1-1"].business_name == 'A "quoted"\tname' and kept["S1-1"].business_address == "NA" and kept["S1-1"].country == "" and kept["S1-2"].business_name == "two\nlines"
-    null = {r.entity_id: r for r in tables.read_tsv(spark, at, tables.RECORD, "null").collect()}
+    null = {r.entity_id: r for r in tables.read_tsv(spark, at, tables.RECORD, "null", True).collect()}
     assert null["S1-1"].business_address is None and null["S1-1"].country is None
     assert tables.lookup(df, spark.createDataFrame([("S1-2",), ("S1-2",)], "x string"), "x").count() == 1
 
@@ -207,3 +207,83 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert [(r.source1_entity_id, r.candidate_entity_id, r.blocking_rules) for r in got.collect()] == [("S1-1", "S2-1", "NAME|NAME_COUNTRY")]
+
+
+def test_arrivals_by_window(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:10"), ("a", "2024-01-01 00:00:50"), ("b", "2024-01-01 00:05:00")]
+    spark.createDataFrame(rows, "k string, at string").selectExpr("k", "cast(at as timestamp) as at").write.parquet(str(tmp_path / "in"))
+    stream = streaming.arrivals(spark.readStream.schema("k string, at timestamp").parquet(str(tmp_path / "in")), "at", "1 minute", "10 minutes", "k")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("arrived").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.k, r.n) for r in spark.table("arrived").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_sorted_files_and_columns(spark, tmp_path):
+    df = spark.createDataFrame([(f"S1-{i % 7}", f"S2-{i}", "S2", "X") for i in range(200)], tables.CANDIDATE).repartition(5)
+    at = tmp_path / "c"
+    tables.write_tsv(blocking.ordered(df), str(at), ["source1_entity_id", "candidate_source", "candidate_entity_id"])
+    lines = [line for f in sorted(at.glob("part-*")) for line in f.read_text().splitlines()[1:]]
+    assert len(lines) == 200 and lines == sorted(lines)
+    assert tables.existing(df, ["candidate_entity_id", "no_such", "source1_entity_id"]).columns == ["candidate_entity_id", "source1_entity_id"]
+    assert [r.candidate_entity_id for r in tables.head(df, 2, "candidate_entity_id").collect()] == ["S2-0", "S2-1"]
+    assert {r.source for r in tables.with_source({"S1": df, "S2": df.limit(1)}).collect()} == {"S1", "S2"}
+
+
+def test_exact_blocking_says_when_a_join_is_too_large(spark):
+    r = records(spark, [(f"S{1 + i % 2}-{i}", "Acme", f"a {i}", "US", f"S{1 + i % 2}") for i in range(20)])
+    assert blocking.exact(r, 100).count() == 100
+    with pytest.raises(ValueError, match="NAME 100"):
+        blocking.exact(r, 99)
+
+
+def test_character_similarity_reports_equal_plain_ones(spark):
+    """Every pair of the whole sample, by difflib and loops."""
+    from difflib import SequenceMatcher
+
+    from linkloom.plans import queries as Q
+
+    d = "/root/testdata/sf0.01"
+    own = {r.entity_id: r for r in Q.docs(spark, d).collect()}
+    text = lambda s: " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (s or "").lower()).split())
+    ratio = lambda a, b: SequenceMatcher(None, text(a), text(b)).ratio() if text(a) and text(b) else 0.0
+    want = {}
+    for p in Q.truth(spark, d).collect():
+        a, b = own[p.source1_entity_id], own[p.candidate_entity_id]
+        want[p.source1_entity_id, p.candidate_entity_id] = (ratio(a.business_name, b.business_name), ratio(a.business_address, b.business_address))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in Q.pair_sequence_ratio(spark, d).collect()}
+    assert got == want and want
+    for r in Q.char_threshold_table(spark, d).collect():
+        values = [v[r.metric.startswith("address")] for v in want.values()]
+        assert (r.pairs, r.total) == (sum(v >= r.threshold for v in values), len(values))
+    rates = {r.condition: r.pairs for r in Q.char_condition_rates(spark, d).collect()}
+    n, a = (lambda x: [v[x] for v in want.values()])(0), [v[1] for v in want.values()]
+    both = list(zip(n, a))
+    assert rates["name_ge_80_or_address_ge_50"] == sum(x >= 0.8 or y >= 0.5 for x, y in both)
+    assert rates["name_ge_80_and_address_ge_50"] == sum(x >= 0.8 and y >= 0.5 for x, y in both)
+    assert rates["name_ge_70_or_address_ge_40"] == sum(x >= 0.7 or y >= 0.4 for x, y in both)
+    assert rates["name_ge_85_or_address_ge_85"] == sum(x >= 0.85 or y >= 0.85 for x, y in both)
+    assert rates["strong_name_weak_address"] == sum(x >= 0.85 and y < 0.5 for x, y in both)
+    assert rates["weak_name_strong_address"] == sum(x < 0.7 and y >= 0.85 for x, y in both)
+    assert rates["strong_name_strong_address"] == sum(x >= 0.85 and y >= 0.85 for x, y in both)
+    assert rates["weak_name_weak_address"] == sum(x < 0.7 and y < 0.7 for x, y in both)
+    by = {(r.candidate_source, r.condition): (r.pairs, r.total) for r in Q.char_source_rates(spark, d).collect()}
+    for s in ("S2", "S3"):
+        mine = [v for k, v in want.items() if k[1].startswith(s)]
+        assert by[s, "name_char_ge_90"] == (sum(x >= 0.9 for x, _ in mine), len(mine))
+        assert by[s, "address_char_ge_80"] == (sum(y >= 0.8 for _, y in mine), len(mine))
+    high = {(r[0], r[1]) for r in Q.high_similarity_pairs(spark, d).collect()}
+    assert high == {k for k, (x, y) in want.items() if x >= 0.85 or y >= 0.85}
+    strata = {}
+    for r in Q.char_examples(spark, d).collect():
+        strata.setdefault(r.diagnostic_group, []).append((r.name_char_similarity, r.address_char_similarity))
+    assert len(strata["weak_name_weak_address"]) == min(20, rates["weak_name_weak_address"]) and all(x < 0.7 and y < 0.7 for x, y in strata["weak_name_weak_address"])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from linkloom.__main__ import main
+
+    tables.write_tsv(spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-1")], tables.PAIR), str(tmp_path / "c"))
+    tables.write_tsv(spark.createDataFrame([("S1-1", "S2-1,S2-2")], tables.GROUND_TRUTH), str(tmp_path / "t"))
+    assert main([]) == 1 and main([str(tmp_path / "c"), str(tmp_path / "no")]) == 1
+    assert main([str(tmp_path / "c"), str(tmp_path / "t")]) == 0
+    assert "pair_recall=0.5" in capsys.readouterr().out
