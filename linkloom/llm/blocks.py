@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import NO_ID, Scratch, texts, trim
+from linkloom.llm.common import NO_ID, Scratch, forget, texts, trim
 
 BLOCK_BYTES = 2 << 20
 
@@ -41,6 +41,7 @@ def _fold(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         number = TaskContext.get().partitionId() << 24
         codec = pa.Codec("zstd", compression_level=3)
         ids: list[int] = []

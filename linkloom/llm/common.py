@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -41,8 +42,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ships the code and bounds Arrow batches by bytes, so that long texts cannot fill a worker."""
+    """Ships the code, lets go of what earlier operators shuffled, and bounds Arrow batches by bytes, so that long texts cannot fill a worker."""
     ship(spark)
+    release(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 2**20))
 
 
@@ -119,6 +121,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def forget() -> None:
+    """Lets go of vocabularies and what was learnt with them: the operator that begins needs none, but may get a worker that holds some."""
+    vocab = sys.modules.get("linkloom.llm.vocab")
+    if vocab is not None:
+        for held in (vocab.word_ids, vocab.piece_ids, vocab.load):
+            held.cache_clear()
+    gc.collect()
+    trim()
+
+
 def trim() -> None:
     """Gives memory that a finished task has freed back to the system: a worker serves many tasks of many operators."""
     import pyarrow as pa

@@ -200,25 +200,29 @@ def _token_counts(size: int, bits: int):
     return run
 
 
-FLAGS = "block long, bucket int, codes binary"
+FLAGS = "block long, bucket int, codes binary, often binary"
 
+#: Classes of tokens, in their order: of one set alone, of several, of many.
+ALONE, SHARED, FREQUENT = range(3)
 
-def _frequent(least: int):
-    """For each block, those of its codes that at least ``least`` sets of all blocks have."""
+
+def _shared(least: int):
+    """For each block, those of its codes that other sets have, too, and whether at least ``least`` of all blocks do."""
 
     def solve(held: list[dict]) -> pa.RecordBatch:
         codes = [from_three(r["codes"]) for r in held]
         code, where = np.unique(np.concatenate(codes), return_inverse=True)
         total = np.bincount(where, np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in held]))
-        often = (total >= least)[where]
+        total = total[where]
         out, at = [], 0
         for r, c in zip(held, codes):
-            mine = often[at : at + len(c)]
+            mine = total[at : at + len(c)]
             at += len(c)
-            if mine.any():
-                out.append((r["block"], r["bucket"], three_bytes(c[mine])))
-        cols = list(zip(*out)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["block", "bucket", "codes"])
+            k = mine > 1
+            if k.any():
+                out.append((r["block"], r["bucket"], three_bytes(c[k]), np.packbits(mine[k] >= least).tobytes()))
+        cols = list(zip(*out)) if out else [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "codes", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -240,22 +244,24 @@ KEYS = "unit long, block long, n int, body binary"
 CLASSES = 64
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(tokens: np.ndarray, kind: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of one set: its rare prefix tokens, and its frequent ones two by two.
 
-    tokens in ascending order, ``need`` the least overlap c. Where an overlap of
-    one token may do, frequent tokens are keys by themselves, too.
+    tokens in ascending order, ``kind`` their classes, ``need`` the least overlap
+    c. Tokens of this set alone come first in the order and are no keys. Where an
+    overlap of one token may do, frequent tokens are keys by themselves, too.
     """
     n = len(tokens)
     prefix = n - need + 1
-    rare = tokens[~frequent]
-    often = tokens[frequent]
-    one = rare[:prefix]
-    if need < 2 and len(rare) < prefix:
-        one = np.concatenate([one, often[: prefix - len(rare)]])
+    alone = int((kind == ALONE).sum())
+    rare, often = tokens[kind == SHARED], tokens[kind == FREQUENT]
+    one = rare[: max(0, prefix - alone)]
+    before = alone + len(rare)
+    if need < 2 and before < prefix:
+        one = np.concatenate([one, often[: prefix - before]])
     two = np.empty(0, np.uint64)
-    if len(rare) <= prefix and n > 1:
-        o = often[: prefix + 1 - len(rare)]
+    if before <= prefix and n > 1:
+        o = often[: prefix + 1 - before]
         i, j = np.triu_indices(len(o), 1)
         two = mix(mix(o[i] * C1) + o[j] * C2)
     return one, two
@@ -266,19 +272,19 @@ def parts_for(n: int, most: int) -> int:
     return 1 << max(0, -(-n // most) - 1).bit_length()
 
 
-def set_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int, most: int) -> list[np.ndarray]:
+def set_keys(tokens: np.ndarray, kind: np.ndarray, num: int, den: int, most: int) -> list[np.ndarray]:
     """Keys of a set's parts, for each number of parts that a partner's size may ask for."""
     n = len(tokens)
     out = []
     m = parts_for(-(-n * num // den), most)
     while m <= parts_for(n * den // num, most):
         if m == 1:
-            parts = [(tokens, frequent)]
+            parts = [(tokens, kind)]
         else:
             where = (mix(tokens * C3 + C1) & np.uint64(m - 1)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(1, m))
-            parts = list(zip(np.split(tokens[order], cuts), np.split(frequent[order], cuts)))
+            parts = list(zip(np.split(tokens[order], cuts), np.split(kind[order], cuts)))
         salt = np.full(1, m, np.uint64) * C2
         for own, often in parts:
             if len(own):
@@ -292,14 +298,28 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1] - 1
 
 
+def _kinds(codes: np.ndarray, flags: list) -> np.ndarray:
+    """The classes of tokens by what their block was told."""
+    out = np.full(len(codes), ALONE, np.int8)
+    if flags:
+        known = [(np.uint64(f["bucket"]) << np.uint64(CODE_BITS)) | from_three(f["codes"]) for f in flags]
+        often = [np.unpackbits(np.frombuffer(f["often"], np.uint8), count=len(k)) for f, k in zip(flags, known)]
+        known, often = np.concatenate(known), np.concatenate(often)
+        order = np.argsort(known)
+        known, often = known[order], often[order]
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        hit = known[at] == codes
+        out[hit] = SHARED + often[at[hit]]
+    return out
+
+
 def _keys(size: int, num: int, den: int, most: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = read_block(row)
             s = block_sets(block, size)
             n = s.sizes
-            flagged = [(f["bucket"] << CODE_BITS) | from_three(f["codes"]).astype(np.int64) for f in row["flags"] or ()]
-            often = np.isin(token_codes(s.tokens, bits).astype(np.int64), np.concatenate(flagged)) if flagged else np.zeros(len(s.tokens), bool)
+            kind = _kinds(token_codes(s.tokens, bits), row["flags"] or ())
             owner = np.repeat(np.arange(len(n)), n)
             cells = np.bincount(owner * CELLS + (s.tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(n) * CELLS)
             cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
@@ -308,7 +328,7 @@ def _keys(size: int, num: int, den: int, most: int, bits: int):
             keys, docs = [], []
             for d in np.nonzero(mine)[0].tolist():
                 b, e = s.ends[d] - n[d], s.ends[d]
-                own = set_keys(s.tokens[b:e], often[b:e], num, den, most)
+                own = set_keys(s.tokens[b:e], kind[b:e], num, den, most)
                 keys += own
                 docs.append(np.full(sum(map(len, own)), d))
             if not keys:
@@ -701,7 +721,8 @@ def near_duplicates(
     Sets that are equal count as one from the start, in a block and between
     blocks. A token is frequent when ``frequent`` or more different sets hold it
     (at most 255 of a block count). Blocks learn which of their own tokens are,
-    through the same buckets as anything else; nothing is broadcast. Sets of more
+    and which no other set has, through the same buckets as anything else;
+    nothing is broadcast. Sets of more
     than ``most`` tokens are parted. These choices move work, never results.
 
     Holders of a key meet by size class. Where more than ``unit`` entries of a
@@ -723,7 +744,7 @@ def near_duplicates(
     profile = scratch.save(blocks.mapInArrow(_profile(size), PROFILE), "profile")
     copies = copies_of(profile, scratch)
     counts = blocks.mapInArrow(_token_counts(size, bits), COUNTS).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
-    flags = counts.mapInArrow(_frequent(frequent), FLAGS).groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("flags"))
+    flags = counts.mapInArrow(_shared(frequent), FLAGS).groupBy("block").agg(F.collect_list(F.struct("bucket", "codes", "often")).alias("flags"))
     skipped = copies.where("place <> rep").groupBy(F.shiftright("place", 16).alias("block")).agg(F.collect_list(F.col("place").bitwiseAND(0xFFFF).cast("int")).alias("copies"))
     told = scratch.save(flags.join(skipped, "block", "full"), "told")
     del counts, flags
