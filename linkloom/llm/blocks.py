@@ -88,7 +88,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
-    trim()
+        trim()
 
 
 def binary(x: np.ndarray, kind: str) -> bytes:

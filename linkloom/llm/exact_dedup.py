@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import NO_ID, Scratch, fresh, lower_ascii, partitions, prepare
+from linkloom.llm.common import NO_ID, Scratch, forget, fresh, lower_ascii, partitions, prepare
 
 SLOTS = 4
 
@@ -170,6 +170,7 @@ def _index(in_order: bool, live: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         index = DigestIndex()
 
         def out(gone: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:

@@ -163,7 +163,10 @@ def _pack(vocab: str, end_id: int, block: int, step: int):
             if tokens >= block:
                 yield from flush()
                 held, tokens = [], 0
+            trim()
         yield from flush()
+        held.clear()
+        trim()
 
     return run
 

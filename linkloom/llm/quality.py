@@ -114,7 +114,8 @@ def _measure(pieces: str, words: str):
             rows = [(*x, *first, *second[1:], script_of(t)) for x, first, second, t in zip(base, *each, texts)]
             cols = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *cols], names=["own", "lang", *names])
-        trim()
+            del texts, base, each, rows, cols, ids
+            trim()
 
     return run
 

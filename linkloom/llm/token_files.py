@@ -53,6 +53,8 @@ def _tokenise(vocab: str, end_id: int, size: int):
             for lo in range(0, len(n), 1024):
                 part = slice(lo, lo + 1024)
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(n[part]), pa.array(crc[part], pa.int64()), own[part].cast(pa.binary())], names=names)
+            del ids, raw, view, own
+            trim()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
         trim()
 
