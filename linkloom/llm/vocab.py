@@ -15,8 +15,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from linkloom.llm.common import trim
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters whose classes, lower case and normal forms agree between the
@@ -189,7 +187,6 @@ class ChunkIds:
             nonlocal held, size
             if held:
                 ids, n = self._slice([t for _, t, _ in held], [e for _, _, e in held])
-                trim()
                 out.append(ids)
                 np.add.at(counts, [i for i, _, _ in held], n)
             held, size = [], 0
