@@ -53,7 +53,7 @@ def load(name: str):
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 #: Characters that are cut into chunks at a time; a longer text is cut at white space.
-SLICE = 2_000_000
+SLICE = 3_000_000
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -284,7 +284,7 @@ class PieceIds(ChunkIds):
     and any other text, goes to the library whole.
     """
 
-    def __init__(self, name: str = "piece_bpe_32k.model", limit: int = 250_000) -> None:
+    def __init__(self, name: str = "piece_bpe_32k.model", limit: int = 300_000) -> None:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(name))
