@@ -53,18 +53,26 @@ def contract(batches: Iterator[pa.RecordBatch], held: int = 500_000) -> Iterator
     yield forest.stars()
 
 
+def tangled(edges: DataFrame) -> bool:
+    """Whether different edges are no stars yet: some node has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return bool(nodes.where("up > 1 or up = 1 and down = 1").agg(F.count("*")).head()[0])
+
+
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """node, component (the smallest member) for every node of an edge a - b between different nodes.
 
-    Alternates two kinds of rounds until nothing changes: each node hands its
-    larger neighbours, then its smaller ones, to the smallest neighbour. The
+    Each task makes its edges stars around the smallest members. Two kinds of
+    rounds alternate until all edges together are: each node hands its larger
+    neighbours, then its smaller ones, to the smallest neighbour. The
     number of rounds grows with the logarithm of a component's size; edges never
     gather in one task, as a node's smallest neighbour is a partial aggregate
     and the join to it may split a large node.
     """
     edges = scratch.save(edges.mapInArrow(contract, EDGES).where("a <> b").distinct(), f"{label}-0")
-    seen, k = None, 0
-    while True:
+    k = 0
+    while tangled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -73,10 +81,6 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         k += 1
         edges = scratch.save(small.distinct(), f"{label}-{k}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         scratch.drop(f"{label}-{k - 1}")
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

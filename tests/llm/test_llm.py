@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -6,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.llm import exact_dedup, huffman, mixing, ngram_join, packing, personal, quality, repeats, suffix_tree, token_counts, token_files, toxicity, vocab
+from linkloom.llm.common import Scratch
+from linkloom.llm.components import Forest, components
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -515,6 +518,26 @@ def test_copies_and_boilerplate_in_many_blocks(spark):
         assert got == brute.near(own)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_components(spark, parts):
+    rng = random.Random(parts)
+    graphs = [
+        [(i, i + 1) for i in range(90)],
+        [(rng.randrange(200), rng.randrange(200)) for _ in range(130)],
+        [(-(2**63), 5), (5, 7), (7, 7), (9, 8), (9, 8)],
+        [],
+    ]
+    for edges in graphs:
+        forest = Forest()
+        for a, b in edges:
+            forest.union(a, b)
+        nodes = {x for a, b in edges if a != b for x in (a, b)}
+        rng.shuffle(edges)
+        table = spark.createDataFrame(edges, "a long, b long").repartition(parts)
+        got = components(table, Scratch(spark, "graph"), "links").collect()
+        assert sorted((r.node, r.component) for r in got) == sorted((x, forest.find(x)) for x in nodes)
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
