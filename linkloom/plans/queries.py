@@ -46,12 +46,16 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return tables.page_records(spark, d)
 
 
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, "records", f"{d}/documents.parquet", lambda: docs(spark, d))
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, "truth", f"{d}/documents.parquet", lambda: pairs.shingle_truth(tables.document_words(spark, d)))
+    return stored(spark, "truth", f"{d}/documents.parquet", lambda: pairs.shingle_truth(tables.document_texts(spark, d)))
 
 
 def structural(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.structural(docs(spark, d), STRUCTURAL_CAP)
+    return blocking.structural(records(spark, d), STRUCTURAL_CAP)
 
 
 def approximate(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +325,7 @@ MEASURED = S.with_(S.DOCUMENTS, S.TRUTH, DIAGNOSED)
 
 
 def measures(spark: SparkSession, d: str, ratios: bool = False) -> DataFrame:
-    return pairs.diagnostics(truth(spark, d), docs(spark, d), ratios)
+    return pairs.diagnostics(truth(spark, d), records(spark, d), ratios)
 
 
 @query(f"{MEASURED}SELECT * FROM measures")
@@ -461,7 +465,8 @@ def token_rarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def char_rarity(spark: SparkSession, d: str) -> DataFrame:
-    return _rarity(spark, d, K.char_keys, {"NAME_CHAR": "name", "ADDRESS_CHAR": "address"})
+    kinds = {"NAME_CHAR": "name", "ADDRESS_CHAR": "address"}
+    return stored(spark, "char-rarity", f"{d}/documents.parquet", lambda: simulate.rarity_by_text(missed(spark, d), records(spark, d), K.char_keys, kinds))
 
 
 def _curve(names: dict[str, str]) -> str:

@@ -287,3 +287,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([]) == 1 and main([str(tmp_path / "c"), str(tmp_path / "no")]) == 1
     assert main([str(tmp_path / "c"), str(tmp_path / "t")]) == 0
     assert "pair_recall=0.5" in capsys.readouterr().out
+
+
+def test_similar_pairs_across_blocks_and_copies(spark, monkeypatch):
+    """Copies, near copies and short texts on both sides, in blocks of a few texts, against all pairs by loops."""
+    import random
+
+    from linkloom.operators import shingles
+
+    monkeypatch.setattr(shingles, "BLOCK_BYTES", 600)
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(rng.choice((3, 12, 40)))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(base[i % 12])
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            w[rng.randrange(len(w))] = "x" + str(rng.randrange(99))
+        rows.append((f"S{1 + i // 12 % 3}-{i}", f"S{1 + i // 12 % 3}", " ".join(["head", str(i), *w][: rng.choice((4, 99))])))
+    rows.append((None, None, "head 0 a b c"))
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, _, t in rows if k for w in [t.split()[2:]]}
+    for least in (0.5, 0.8):
+        want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a[:2] == "S1" != b[:2] and x and len(x & y) >= least * len(x | y)}
+        got = [tuple(r) for r in pairs.shingle_truth(spark.createDataFrame(rows, "entity_id string, source string, text string").repartition(3), 2, 3, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
