@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import Scratch, fresh, prepare
@@ -48,6 +48,11 @@ def topic() -> Column:
     )
 
 
+def one_task(cells: DataFrame) -> DataFrame:
+    """A table of cells, or of their marginals, as one partition: aggregates and windows over it need no shuffle."""
+    return cells.coalesce(1)
+
+
 def cells_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("n"), F.count("*").alias("docs")).where("n > 0")
 
@@ -75,22 +80,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
     after ``rounds``, or once a whole round moved no weight by more than
     ``tolerance`` of itself. Target values without cells fall away; values
     without a target keep no weight. One round's table is written before the
-    next reads it.
+    next reads it. The table of cells is one task's: a round shuffles and
+    broadcasts nothing, however many partitions a shuffle has.
     """
     total = cells.agg(F.sum("n")).head()[0]
-    now = scratch.save(cells.withColumn("w", F.col("n") / F.lit(total or 1.0)), "raked-0")
+    now = cells.where(F.concat(*DIMENSIONS).isNotNull()).withColumn("w", F.col("n") / F.lit(total or 1.0))
+    for d in DIMENSIONS:
+        now = now.join(targets[d].select(d, F.col("target").alias(f"target_{d}")), d, "left")
+    now = one_task(scratch.save(one_task(now), "raked-0"))
     for k in range(1, rounds + 1):
         step = now.withColumn("was", F.col("w"))
         for d in DIMENSIONS:
-            margin = step.groupBy(d).agg(F.sum("w").alias("margin")).join(targets[d], d, "left")
-            step = step.join(margin, d).withColumn("w", F.when(F.col("margin") > 0, F.col("w") * F.coalesce("target", F.lit(0.0)) / F.col("margin")).otherwise(0.0)).drop("margin", "target")
-        step = scratch.save(step, f"raked-{k}")
+            step = step.withColumn("margin", F.sum("w").over(Window.partitionBy(d)))
+            step = step.withColumn("w", F.when(F.col("margin") > 0, F.col("w") * F.coalesce(f"target_{d}", F.lit(0.0)) / F.col("margin")).otherwise(0.0)).drop("margin")
+        step = one_task(scratch.save(step, f"raked-{k}"))
         moved = step.agg(F.max(F.abs(F.col("w") - F.col("was")) / F.greatest("was", F.lit(1e-300)))).head()[0]
         now = step.drop("was")
         scratch.drop(f"raked-{k - 1}")
         if moved is None or moved <= tolerance:
             break
-    return now
+    return now.select(*cells.columns, "w")
 
 
 def probabilities(raked: DataFrame, scratch: Scratch, keep: float, rounds: int = 40) -> DataFrame:
@@ -99,7 +108,7 @@ def probabilities(raked: DataFrame, scratch: Scratch, keep: float, rounds: int =
     f is found by bisection on the table of cells; where every cell with weight
     is kept whole and that is less than asked for, p is 1 there.
     """
-    cells = scratch.save(raked.select(*DIMENSIONS, "n", "w", (F.col("w") / F.col("n")).alias("r")), "rates")
+    cells = one_task(scratch.save(raked.select(*DIMENSIONS, "n", "w", (F.col("w") / F.col("n")).alias("r")), "rates"))
     total, least = cells.agg(F.sum("n"), F.min(F.when(F.col("r") > 0, F.col("r")))).head()
     if not total or not least:
         return cells.withColumn("p", F.lit(0.0)).drop("r")
@@ -107,7 +116,8 @@ def probabilities(raked: DataFrame, scratch: Scratch, keep: float, rounds: int =
     grid = 64
     for _ in range(rounds // 6 + 1):  # each round reads the cells once and cuts the range 64-fold
         at = [low + (high - low) * (i + 1) / grid for i in range(grid)]
-        got = cells.agg(*[F.sum(F.least(F.lit(1.0), F.col("r") * f) * F.col("n")) for f in at]).head()
+        each = cells.select("r", "n", F.posexplode(F.array(*[F.lit(f) for f in at])).alias("i", "f"))
+        got = [x.tokens for x in each.groupBy("i").agg(F.sum(F.least(F.lit(1.0), F.col("r") * F.col("f")) * F.col("n")).alias("tokens")).orderBy("i").collect()]
         i = next((i for i, x in enumerate(got) if x >= keep * total), grid - 1)
         low, high = (at[i - 1] if i else low), at[i]
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("r") * high)).drop("r")
@@ -129,7 +139,7 @@ def marked(docs: DataFrame, topic_of: Callable[[], Column] = topic) -> DataFrame
 
 def fitted(rows: DataFrame, scratch: Scratch, powers: tuple[float, float, float], keep: float, rounds: int, targets: dict[str, dict[str, float]] | None) -> DataFrame:
     """source, lang, topic and p of each cell of the marked ``rows``."""
-    cells = scratch.save(cells_of(rows), "cells")
+    cells = one_task(scratch.save(cells_of(rows), "cells"))
     asked = {d: given(cells.sparkSession, d, targets[d]) if targets and d in targets else targets_of(cells, d, a) for d, a in zip(DIMENSIONS, powers)}
     asked = {d: scratch.save(t, f"target-{d}") for d, t in asked.items()}
     return scratch.save(probabilities(rake(cells, asked, scratch, rounds), scratch, keep).select(*DIMENSIONS, "p"), "p")

@@ -360,6 +360,20 @@ def test_voters():
     assert "clean" in fires("plain words " * 20)[0] and "clean" in fires("few words")[1]
 
 
+def test_raking_rounds_shuffle_nothing(documents, monkeypatch):
+    """A round that deals its few cells to every partition of a shuffle costs the driver memory for each task."""
+    plans, save = {}, Scratch.save
+
+    def kept(self, df, label, *rest):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, label, *rest)
+
+    monkeypatch.setattr(Scratch, "save", kept)
+    rates = mixing.mixture_rates(documents, rounds=3).collect()
+    rounds = [p for label, p in plans.items() if label.startswith("raked-") and label != "raked-0"]
+    assert rates and rounds and not any("Exchange" in p for p in [*rounds, plans["rates"]])
+
+
 def test_mixing_meets_its_targets(spark, documents):
     out = mixing.mixture(documents, powers=(1.0, 1.0, 1.0), keep=0.5).toPandas()
     expected = (out.tokens * out.p).sum()
