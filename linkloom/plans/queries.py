@@ -398,21 +398,27 @@ def ratio_measures(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, "measures", f"{d}/documents.parquet", lambda: measures(spark, d, True))
 
 
+def counted_ratios(spark: SparkSession, d: str, *also: str) -> DataFrame:
+    """The two ratios, with other measures, of different texts and how many pairs have them."""
+    names = (*evaluate.CHAR_THRESHOLDS, *also)
+    return stored(spark, "-".join(("counted", *also)), f"{d}/documents.parquet", lambda: pairs.counted_diagnostics(truth(spark, d), records(spark, d), names))
+
+
 @query()
 def char_threshold_table(spark: SparkSession, d: str) -> DataFrame:
-    own = ratio_measures(spark, d)
-    tables_ = [evaluate.threshold_table(own, [c], ts) for c, ts in evaluate.CHAR_THRESHOLDS.items()]
+    own = counted_ratios(spark, d)
+    tables_ = [evaluate.threshold_table(own, [c], ts, "pairs") for c, ts in evaluate.CHAR_THRESHOLDS.items()]
     return tables_[0].unionByName(tables_[1])
 
 
 @query()
 def char_condition_rates(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.condition_rates(ratio_measures(spark, d), conditions=evaluate.CHAR_CONDITIONS)
+    return evaluate.condition_rates(counted_ratios(spark, d, *METRICS), conditions=evaluate.CHAR_CONDITIONS, weight="pairs")
 
 
 @query()
 def char_source_rates(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.condition_rates(ratio_measures(spark, d), "candidate_source", evaluate.SOURCE_CONDITIONS)
+    return evaluate.condition_rates(counted_ratios(spark, d), "candidate_source", evaluate.SOURCE_CONDITIONS, "pairs")
 
 
 @query()

@@ -310,3 +310,41 @@ def test_similar_pairs_across_blocks_and_copies(spark, monkeypatch):
         want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a[:2] == "S1" != b[:2] and x and len(x & y) >= least * len(x | y)}
         got = [tuple(r) for r in pairs.shingle_truth(spark.createDataFrame(rows, "entity_id string, source string, text string").repartition(3), 2, 3, least).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def _copied_records(spark):
+    names = ["Acme Widgets Ltd", "acme widgets", "Zenith, Tools", "", "Acme Widgets Ltd"]
+    rows = [(f"S{1 + i % 3}-{i}", names[i % 5], f"{i % 2} Long Street 77", "en", f"S{1 + i % 3}") for i in range(60)]
+    return spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string, source string")
+
+
+def _all_pairs(records):
+    a = records.where("source = 'S1'").select(F.col("entity_id").alias("source1_entity_id"))
+    return a.crossJoin(records.where("source <> 'S1'").select(F.col("entity_id").alias("candidate_entity_id")))
+
+
+def test_counted_diagnostics_are_those_of_all_pairs(spark):
+    """Reports that count pairs get a row for each two different texts and source, not one for each pair of copies."""
+    records = _copied_records(spark)
+    every = _all_pairs(records)
+    names = ("name_jaccard", "name_char_similarity", "address_char3_jaccard", "address_char_similarity")
+    one_by_one = pairs.diagnostics(every, records)
+    counted = pairs.counted_diagnostics(every, records, names).cache()
+    key = ["candidate_source", *names]
+    want = {tuple(r) for r in one_by_one.groupBy(*key).agg(F.count("*")).collect()}
+    assert {tuple(r) for r in counted.groupBy(*key).agg(F.sum("pairs")).collect()} == want
+    assert counted.count() <= 2 * 8 * 8 < every.count()
+    conditions = {"a": "name_char_similarity >= 0.8", "b": "address_char3_jaccard < 0.9"}
+    for by in (None, "candidate_source"):
+        assert set(evaluate.condition_rates(counted, by, conditions, "pairs").collect()) == set(evaluate.condition_rates(one_by_one, by, conditions).collect())
+    assert set(evaluate.threshold_table(counted, names, (0.5, 0.9), "pairs").collect()) == set(evaluate.threshold_table(one_by_one, names, (0.5, 0.9)).collect())
+    none = pairs.counted_diagnostics(every.limit(0), records, names)
+    assert {tuple(r) for r in evaluate.condition_rates(none, None, conditions, "pairs").collect()} == {("a", 0, 0, 0.0), ("b", 0, 0, 0.0)}
+
+
+def test_char_reports_write_no_row_for_each_pair(spark, monkeypatch):
+    from linkloom.plans import queries
+
+    monkeypatch.setattr(queries, "ratio_measures", None)
+    for q in ("char_source_rates", "char_condition_rates", "char_threshold_table"):
+        assert queries.QUERIES[q](spark, "/root/testdata/sf0.001").count() > 0
