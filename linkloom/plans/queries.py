@@ -492,7 +492,9 @@ def token_recovery_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CHARS + _curve(COMBINED))
 def rarity_recovery_curve(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.curve(char_rarity(spark, d), simulate.combined("name_min_freq", "address_min_freq"), CAPS)
+    kinds = {"NAME_CHAR": "name", "ADDRESS_CHAR": "address"}
+    values = stored(spark, "counted-rarity", f"{d}/documents.parquet", lambda: simulate.counted_rarity(missed(spark, d), records(spark, d), K.char_keys, kinds))
+    return simulate.curve(values, simulate.combined("name_min_freq", "address_min_freq"), CAPS, "pairs")
 
 
 @query(CHARS + _curve(MULTI))

@@ -348,3 +348,16 @@ def test_char_reports_write_no_row_for_each_pair(spark, monkeypatch):
     monkeypatch.setattr(queries, "ratio_measures", None)
     for q in ("char_source_rates", "char_condition_rates", "char_threshold_table"):
         assert queries.QUERIES[q](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_counted_rarity_is_that_of_all_pairs(spark):
+    records = _copied_records(spark)
+    every = _all_pairs(records)
+    kinds = {"NAME_CHAR": "name", "ADDRESS_CHAR": "address"}
+    one_by_one = simulate.rarity_by_text(every, records, K.char_keys, kinds)
+    counted = simulate.counted_rarity(every, records, K.char_keys, kinds).cache()
+    values = [c for c in counted.columns if c != "pairs"]
+    assert {tuple(r) for r in counted.groupBy(*values).agg(F.sum("pairs")).collect()} == {tuple(r) for r in one_by_one.groupBy(*values).agg(F.count("*")).collect()}
+    assert counted.count() <= 8 * 8 < every.count()
+    columns = simulate.combined("name_min_freq", "address_min_freq")
+    assert simulate.curve(counted, columns, (3, 20, 60), "pairs").collect() == simulate.curve(one_by_one, columns, (3, 20, 60)).collect()
